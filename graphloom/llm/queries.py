@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, sentence_spans
+from . import fingerprints, html_wrappers, language_id, sentence_spans
 from .common import table
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentence_spans.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
@@ -24,6 +28,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html_extraction": op3_html_extraction,
     "op4_sentence_spans": op4_sentence_spans,
     "op7_fingerprints": op7_fingerprints,
     "op8_language_id": op8_language_id,
