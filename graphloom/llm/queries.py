@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_wrappers, language_id, sentence_spans
+from . import fingerprints, html_wrappers, language_id, max_plus, sentence_spans, token_counts
 from .common import table
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs.withColumn("edits", token_counts.sample_edits()))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.main_texts(table(spark, sf_dir, "pages"))
 
@@ -27,11 +32,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return max_plus.summary(max_plus.encode_texts(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op3_html_extraction": op3_html_extraction,
     "op4_sentence_spans": op4_sentence_spans,
     "op7_fingerprints": op7_fingerprints,
     "op8_language_id": op8_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {}
