@@ -1,20 +1,26 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-The best segmentation of a text is the path of the greatest sum of piece scores.  A giant
-text is cut into chunks at any place.  The state at a boundary is the distance from it to
-the next piece, so a chunk is a matrix over (max, +) from the states before it to those
-after it.  Matrices combine associatively; a forward scan over a text's few matrices
-gives the scores at every boundary, a backward scan over the chunks' maps from exit to entry
-gives the path's states, and every chunk is then traced back on its own.
-
-Inside a chunk, words are independent: pieces start with the space mark or have none, so
-that every path has a cut before each run of marks.  On equal sums the longer last piece
-wins.  Scores are exact integers.
+A BPE encoding is the one path through the lattice of a text's pieces on which every two
+neighbours are what BPE makes of their joined text.  So the path is a best path over
+(max, +), where a step weighs 0 if the pieces fit and minus infinity if they don't, and
+its states at a place are the pieces that end there.
+
+A giant text is cut into chunks at any place.  The state at a boundary is the first piece
+that ends at or after it: (how far after, how long).  A chunk is a transfer matrix from the
+states before it to those after it; as all weights are 0 or minus infinity, a row is kept as
+the set of states it leads to.  Matrices combine associatively; a forward scan over a text's
+few matrices gives the states that the text's start can lead to, a backward scan over the
+chunks' maps from exit to entry gives the states on the path, and every chunk is then
+traced back on its own.
+
+Inside a chunk, words are independent: pieces have the space mark at their start only, so
+that every path has a cut before each run of marks.  Whole words go to the library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -31,15 +37,16 @@ from .textops import powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
-#: Words whose best paths a worker remembers.
+#: Words and pairs that a worker remembers.
 MEMORY = 1 << 19
 
 _MARK = "▁"
+_CUT = re.compile(rf"(?<=[^{_MARK}]){_MARK}")
 _WORD = re.compile(rf"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 
 
 class Lattice:
-    """Pieces and scores of a model file, read as a lattice of pieces (see the README)."""
+    """Pieces of a BPE model file, and which of them can stand side by side."""
 
     def __init__(self, path: str) -> None:
         proto = sentencepiece_model_pb2.ModelProto()
@@ -47,80 +54,40 @@ class Lattice:
             proto.ParseFromString(f.read())
         if proto.normalizer_spec.name != "identity" or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models that keep texts as they are can be used")
+        if proto.trainer_spec.model_type != 2:
+            raise ValueError("only BPE models can be used")
         self.prefix = _MARK if proto.normalizer_spec.add_dummy_prefix else ""
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
-        self.pieces: dict[str, tuple[int, int]] = {}
+        self.pieces: dict[str, int] = {}
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
-        unknown = 0
         for i, p in enumerate(proto.pieces):
             raw = b""
-            if p.type == kinds.NORMAL or p.type == kinds.USER_DEFINED:
-                if not float(p.score).is_integer():
-                    raise ValueError("scores must be whole numbers to be summed exactly")
-                self.pieces[p.piece] = (int(p.score), i)
+            if p.type == kinds.NORMAL:
+                self.pieces[p.piece] = i
                 raw = p.piece.encode()
             elif p.type == kinds.BYTE:
                 self.byte_ids[int(p.piece[3:-1], 16)] = i
                 raw = bytes([int(p.piece[3:-1], 16)])
-            elif p.type == kinds.UNKNOWN:
-                unknown = i
             self.bytes_of.append(raw)
         if any(_MARK in p.lstrip(_MARK) for p in self.pieces):
             raise ValueError("pieces that join words aren't supported")
-        self.unknown = min(s for s, _ in self.pieces.values()) - 10
-        self.unknown_id = unknown
-        self.has_bytes = all(self.byte_ids)
+        if not all(self.byte_ids):
+            raise ValueError("the model must have bytes to fall back to")
         self.longest = max(map(len, self.pieces))
-        self.score_of = np.zeros(len(proto.pieces), np.int64)
-        for score, i in self.pieces.values():
-            self.score_of[i] = score
-        proto.trainer_spec.model_type = 1
+        #: what pieces begin with
+        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         proto.normalizer_spec.add_dummy_prefix = False
         self.kernel = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.odd = re.compile("[^" + "".join(re.escape(p) for p in self.pieces if len(p) == 1) + "]")
         self.memo: dict[str, list[int]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
 
     def normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", _MARK) if text else ""
 
-    # -- dynamic programming over a string ---------------------------------------
-
-    def forward(self, s: str, entry: list[int | None], stop: int) -> tuple[list, list]:
-        """Best sums to every place and where the last piece to it starts.  ``entry``: sums to
-        places 0, 1, ...; pieces start before ``stop`` and may end after it, in ``s``."""
-        best: list[int | None] = [*entry[: len(s) + 1], *[None] * (len(s) + 1 - len(entry))]
-        back = [-1] * (len(s) + 1)
-        pieces, longest, unknown = self.pieces, self.longest, self.unknown
-        for i in range(min(stop, len(s))):
-            here = best[i]
-            if here is None:
-                continue
-            single = False
-            for j in range(i + 1, min(i + longest, len(s)) + 1):
-                found = pieces.get(s[i:j])
-                if found is not None:
-                    single |= j == i + 1
-                    value = here + found[0]
-                    if best[j] is None or value > best[j]:
-                        best[j], back[j] = value, i
-            if not single and (best[i + 1] is None or here + unknown > best[i + 1]):
-                best[i + 1], back[i + 1] = here + unknown, i
-        return best, back
-
     def ids_of(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
-        if found:
-            return [found[1]]
-        return [self.byte_ids[b] for b in piece.encode()] if self.has_bytes else [self.unknown_id]
-
-    def word(self, w: str) -> list[int]:
-        _, back = self.forward(w, [0], len(w))
-        cuts, at = [], len(w)
-        while at > 0:
-            cuts.append((back[at], at))
-            at = back[at]
-        return [i for a, b in reversed(cuts) for i in self.ids_of(w[a:b])]
+        return [self.byte_ids[b] for b in piece.encode()] if found is None else [found]
 
     def words(self, words: list[str]) -> array:
         """Ids of whole words, one after another."""
@@ -130,12 +97,8 @@ class Lattice:
             if len(memo) + len(new) > MEMORY:
                 memo.clear()
                 new = set(words)
-            plain = [w for w in new if len(w) < 200 and not self.odd.search(w)]
-            # the library's kernel sums in 32-bit floats: exact for these words only
-            memo.update(zip(plain, self.kernel.encode(plain, num_threads=1), strict=True))
-            for w in new:
-                if w not in memo:
-                    memo[w] = self.word(w)
+            new = list(new)
+            memo.update(zip(new, self.kernel.encode(new, num_threads=1), strict=True))
         out = array("i")
         for w in words:
             out.extend(memo[w])
@@ -148,85 +111,121 @@ class Lattice:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text.replace(_MARK, " ")[len(self.prefix) :]
 
-    # -- chunks -------------------------------------------------------------------
-    # A chunk is (s, size): its own ``size`` characters, then up to longest - 1 of the next
-    # ones; states are 0 .. longest - 1.
-
-    def first_cut(self, s: str, size: int, follows_mark: bool) -> int:
-        """The first place below ``size`` at which every path has a cut, or -1.  At place 0
-        that depends on the character before the chunk."""
-        if size and s[0] == _MARK and not follows_mark:
+    # -- the lattice ----------------------------------------------------------------
+
+    def fits(self, x: str, y: str) -> bool:
+        """Whether BPE makes x and y of their joined text."""
+        if not x:
+            return self.kernel.encode(y) == self.ids_of(y)
+        if y[0] == _MARK and x[-1] != _MARK:
+            return self.fits("", y)
+        key = x, y
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= MEMORY:
+                self.pairs.clear()
+            found = self.pairs[key] = self.kernel.encode(x + y) == self.ids_of(x) + self.ids_of(y)
+        return found
+
+    def forward(self, full: str, base: int, entries: list[tuple[int, int]], stop: int) -> dict:
+        """All states (place, length) that ``entries`` lead to, with the state before each
+        (None: an entry).  Places count from ``base`` in ``full``; pieces start before ``stop``."""
+        reached: dict[int, dict[int, tuple[int, int] | None]] = {}
+        for at, length in entries:
+            reached.setdefault(at, {})[length] = None
+        i, end = 0, len(full) - base
+        while i < stop:
+            here = reached.get(i)
+            if here:
+                ends = []
+                for j in range(i + 1, min(i + self.longest, end) + 1):
+                    part = full[base + i : base + j]
+                    if part not in self.prefixes:
+                        break
+                    if part in self.pieces:
+                        ends.append(j)
+                if not ends or ends[0] != i + 1:
+                    ends.insert(0, i + 1)  # a character that isn't a piece stands alone
+                for j in ends:
+                    piece = full[base + i : base + j]
+                    for length in sorted(here, reverse=True):
+                        if self.fits(full[base + i - length : base + i] if length else "", piece):
+                            reached.setdefault(j, {}).setdefault(j - i, (i, length))
+                            break
+            i += 1
+        return reached
+
+    # -- chunks: (before, s, size) -----------------------------------------------------
+    # ``s`` is the chunk's own ``size`` characters, then up to longest - 1 of the next ones;
+    # ``before``: up to longest characters before the chunk.
+
+    def first_cut(self, before: str, s: str, size: int) -> int:
+        """The first place below ``size`` at which every path has a cut, or -1."""
+        if size and s[0] == _MARK and before[-1:] != _MARK:
             return 0
-        m = re.compile(rf"(?<=[^{_MARK}]){_MARK}").search(s, 1, size) if size > 1 else None
+        m = _CUT.search(s, 1, size) if size > 1 else None
         return m.start() if m else -1
 
-    def middle(self, s: str, size: int, cut: int) -> tuple[list[str], int]:
+    def entries(self, before: str, s: str) -> list[tuple[int, int]]:
+        """Every state that the boundary before the chunk could have."""
+        if not before:
+            return [(0, 0)]
+        out = [(0, 1)]
+        for a in range(min(self.longest, len(s) + 1)):
+            for length in range(a + 1, min(self.longest, a + len(before)) + 1):
+                if length > 1 and (before[a - length :] if a < length else "") + s[:a] in self.pieces:
+                    out.append((a, length))
+        return out
+
+    def split(self, s: str, size: int, cut: int) -> tuple[list[str], int]:
         """Whole words from ``cut`` on, and where the last word starts, which may go on after the chunk."""
         words = _WORD.findall(s[cut:size])
         return words[:-1], size - len(words[-1])
 
-    def score(self, words: list[str]) -> int:
-        """The sum of whole words' best scores."""
-        odd = [w for w in words if self.odd.search(w)]
-        ids = self.words([w for w in words if not self.odd.search(w)] if odd else words)
-        total = int(self.score_of[np.array(ids, np.int64)].sum()) if len(ids) else 0
-        return total + sum(self.forward(w, [0], len(w))[0][len(w)] for w in odd)
-
-    def matrix(self, s: str, size: int, follows_mark: bool) -> list[list[int | None]]:
-        """The chunk's transfer matrix [entry][exit]."""
-        n = self.longest
-        cut = self.first_cut(s, size, follows_mark)
-        out = []
-        if cut < 0:
-            for a in range(n):
-                best, _ = self.forward(s, [*[None] * a, 0], size) if a <= len(s) else ([None] * (len(s) + 1), None)
-                out.append([best[size + b] if size + b < len(best) else None for b in range(n)])
-            return out
-        whole, last = self.middle(s, size, cut)
-        between = self.score(whole)
-        tail, _ = self.forward(s[last:], [0], size - last)
-        for a in range(n):
-            head = None
-            if a == cut:
-                head = 0
-            elif a < cut:
-                head = self.forward(s[:cut], [*[None] * a, 0], cut)[0][cut]
-            out.append([None if head is None or size - last + b >= len(tail) or tail[size - last + b] is None else head + between + tail[size - last + b] for b in range(n)])
-        return out
-
-    def trace(self, s: str, size: int, follows_mark: bool, entry: list[int | None], leave: int | None) -> tuple[list[int | None], array]:
-        """With the true sums at the entries: the entry of every exit, and the ids on the
-        path to the exit ``leave`` (None: no ids)."""
-        cut = self.first_cut(s, size, follows_mark)
-        to, ids = [None] * self.longest, array("i")
-
-        def back_from(back, base, at, floor):
-            cuts = []
-            while at > floor and back[at] >= 0:
-                cuts.append((back[at], at))
-                at = back[at]
-            return at, [i for a, b in reversed(cuts) for i in self.ids_of(base[a:b])]
+    def exits(self, reached: dict, size: int, base: int = 0) -> list[tuple[int, int]]:
+        return [(at - size + base, length) for at in sorted(reached) if at + base >= size for length in reached[at] if length > at + base - size or length == 0]
 
+    def matrix(self, before: str, s: str, size: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """The chunk's transfer matrix, by rows: the exits that each entry leads to."""
+        cut = self.first_cut(before, s, size)
+        rows = self.entries(before, s)
         if cut < 0:
-            _, back = self.forward(s, entry, size)
-            for b in range(self.longest):
-                if size + b < len(back) and (back[size + b] >= 0 or size + b < len(entry) and entry[size + b] is not None):
-                    to[b], got = back_from(back, s, size + b, 0)
-                    if b == leave:
-                        ids.extend(got)
+            return {e: self.exits(self.forward(before + s, len(before), [e], size), size) for e in rows}
+        _, last = self.split(s, size, cut)
+        tail = self.exits(self.forward(s, last, [(0, 0)], size - last), size, last)
+        return {e: tail if self.forward((before + s)[: len(before) + cut], len(before), [e], cut).get(cut) else [] for e in rows}
+
+    def trace(self, before: str, s: str, size: int, entries: list, leave: tuple[int, int] | None) -> tuple[dict, array]:
+        """With the entries that the text's start leads to: the entry of every exit, and the
+        ids on the path to the exit ``leave`` (None: no ids)."""
+        cut, ids = self.first_cut(before, s, size), array("i")
+
+        def back_from(reached, full, base, at, length):
+            path = []
+            while (prior := reached[at][length]) is not None:
+                path.append(full[base + at - length : base + at])
+                at, length = prior
+            return (at, length), [i for p in reversed(path) for i in self.ids_of(p)]
+
+        to = {}
+        if cut < 0:
+            reached = self.forward(before + s, len(before), entries, size)
+            for e in self.exits(reached, size):
+                to[e], got = back_from(reached, before + s, len(before), e[0] + size, e[1])
+                if e == leave:
+                    ids.extend(got)
             return to, ids
-        whole, last = self.middle(s, size, cut)
-        _, head = self.forward(s[:cut], entry[: cut + 1], cut)
-        _, tail = self.forward(s[last:], [0], size - last)
-        at, first = back_from(head, s, cut, 0)
-        for b in range(self.longest):
-            j = size - last + b
-            if j < len(tail) and tail[j] >= 0:
-                to[b] = at
-                if b == leave:
-                    ids.extend(first)
-                    ids.extend(self.words(whole))
-                    ids.extend(back_from(tail, s[last:], j, 0)[1])
+        whole, last = self.split(s, size, cut)
+        full = (before + s)[: len(before) + cut]
+        head = self.forward(full, len(before), entries, cut)
+        tail = self.forward(s, last, [(0, 0)], size - last)
+        start, first = back_from(head, full, len(before), cut, max(head[cut]))
+        for e in self.exits(tail, size, last):
+            to[e] = start
+            if e == leave:
+                ids.extend(first)
+                ids.extend(self.words(whole))
+                ids.extend(back_from(tail, s, last, e[0] + size - last, e[1])[1])
         return to, ids
 
 
@@ -235,22 +234,23 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def times(row: list, matrix: list) -> list:
+def times(row: list, matrix: dict) -> list:
     """Row vector times matrix over (max, +)."""
-    out = []
-    for b in range(len(row)):
-        sums = [x + m[b] for x, m in zip(row, matrix, strict=True) if x is not None and m[b] is not None]
-        out.append(max(sums) if sums else None)
-    return out
+    return sorted({tuple(x) for e in row for x in matrix.get(tuple(e), ())})
 
 
-def product(x: list, y: list) -> list:
+def product(x: dict, y: dict) -> dict:
     """Matrix product over (max, +); associative."""
-    return [times(row, y) for row in x]
+    return {e: times(row, y) for e, row in x.items()}
+
+
+def cut_chunks(text: str, chunk: int, reach: int) -> list[tuple[str, str, int]]:
+    return [(text[max(0, i - reach) : i], text[i : i + chunk + reach - 1], min(chunk, len(text) - i)) for i in range(0, len(text), chunk)]
 
 
-def cut_chunks(text: str, chunk: int, reach: int) -> list[tuple[str, int, bool]]:
-    return [(text[i : i + chunk + reach - 1], min(chunk, len(text) - i), i > 0 and text[i - 1] == _MARK) for i in range(0, len(text), chunk)]
+def last_exit(to: dict) -> tuple[int, int]:
+    """The state at the text's end."""
+    return next(e for e in sorted(to) if e[0] == 0)
 
 
 def polynomial(ids: np.ndarray, before: int = 0) -> int:
@@ -264,12 +264,13 @@ def polynomial(ids: np.ndarray, before: int = 0) -> int:
     return int(total) * pow(step, before, 1 << 64) % (1 << 64)
 
 
-def _dump(rows: list) -> str:
-    return ";".join(",".join("" if x is None else str(x) for x in r) for r in rows)
+def _dump(pairs) -> str:
+    """States, or a matrix or map as rows of [entry, ...], as text."""
+    return json.dumps([[k, v] for k, v in pairs.items()] if isinstance(pairs, dict) else pairs)
 
 
-def _load(text: str) -> list:
-    return [[int(x) if x else None for x in r.split(",")] for r in text.split(";")]
+def _states(text: str) -> list[tuple[int, int]]:
+    return [tuple(x) for x in json.loads(text)]
 
 
 def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -304,13 +305,13 @@ def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Dat
                 made = cut_chunks(model_.normal(t), chunk, model_.longest)
                 n = len(made)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([did] * n, pa.int64()), pa.array([tk] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([s for s, _, _ in made], pa.string()), pa.array([z for _, z, _ in made], pa.int32()), pa.array([m for _, _, m in made], pa.bool_())],
-                    names=["did", "tk", "part", "s", "size", "mark"],
+                    [pa.array([did] * n, pa.int64()), pa.array([tk] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([x for x, _, _ in made], pa.string()), pa.array([x for _, x, _ in made], pa.string()), pa.array([x for _, _, x in made], pa.int32())],
+                    names=["did", "tk", "part", "before", "s", "size"],
                 )
 
     keyed = "did long, tk binary, part int"
     large_rows = rows.where(giant)
-    cuts = by_batch(large_rows.groupBy("did", "tk").agg(F.first("text").alias("text")), cut, f"{keyed}, s string, size int, mark boolean")
+    cuts = by_batch(large_rows.groupBy("did", "tk").agg(F.first("text").alias("text")), cut, f"{keyed}, before string, s string, size int")
     chunks = stored(cuts.repartition("did", "tk", "part"))
 
     def add(batch, name, values, kind):
@@ -321,15 +322,14 @@ def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Dat
 
     def matrices(batch):
         model_ = lattice(model)
-        yield add(batch, "m", [_dump(model_.matrix(*x)) for x in each(batch, "s", "size", "mark")], pa.string())
+        yield add(batch, "m", [_dump(model_.matrix(*x)) for x in each(batch, "before", "s", "size")], pa.string())
 
     def scan(pdf):
         pdf = pdf.sort_values("part", ignore_index=True)
-        entry, out = None, []
-        for m in map(_load, pdf["m"]):
-            entry = entry or [0, *[None] * (len(m) - 1)]
-            out.append(_dump([entry]))
-            entry = times(entry, m)
+        entry, out = [(0, 0)], []
+        for m in pdf["m"]:
+            out.append(_dump(entry))
+            entry = times(entry, {tuple(k): v for k, v in json.loads(m)})
         return pdf[["did", "tk", "part"]].assign(entry=out)
 
     entries = stored(by_batch(chunks, matrices, f"{keyed}, m string").groupBy("did", "tk").applyInPandas(scan, f"{keyed}, entry string"))
@@ -337,21 +337,22 @@ def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Dat
 
     def exits(batch):
         model_ = lattice(model)
-        yield add(batch, "back", [_dump([model_.trace(s, z, k, _load(e)[0], None)[0]]) for s, z, k, e in each(batch, "s", "size", "mark", "entry")], pa.string())
+        yield add(batch, "back", [_dump(model_.trace(b, s, z, _states(e), None)[0]) for b, s, z, e in each(batch, "before", "s", "size", "entry")], pa.string())
 
     def leave(pdf):
         pdf = pdf.sort_values("part", ignore_index=True)
-        at, out = 0, []
-        for back in reversed([_load(x)[0] for x in pdf["back"]]):
-            out.append(at)
+        at, out = None, []
+        for back in reversed([{tuple(k): tuple(v) for k, v in json.loads(x)} for x in pdf["back"]]):
+            at = at or last_exit(back)
+            out.append(_dump(at))
             at = back[at]
         return pdf[["did", "tk", "part"]].assign(leave=out[::-1])
 
-    states = stored(by_batch(traced, exits, f"{keyed}, back string").groupBy("did", "tk").applyInPandas(leave, f"{keyed}, leave int"))
+    states = stored(by_batch(traced, exits, f"{keyed}, back string").groupBy("did", "tk").applyInPandas(leave, f"{keyed}, leave string"))
 
     def path(batch):
         model_ = lattice(model)
-        made = [model_.trace(s, z, k, _load(e)[0], x)[1].tolist() for s, z, k, e, x in each(batch, "s", "size", "mark", "entry", "leave")]
+        made = [model_.trace(b, s, z, _states(e), tuple(json.loads(x)))[1].tolist() for b, s, z, e, x in each(batch, "before", "s", "size", "entry", "leave")]
         yield add(batch, "ids", made, pa.list_(pa.int32()))
 
     paths = by_batch(traced.join(states, ["did", "tk", "part"]), path, f"{keyed}, ids array<int>")
