@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_wrappers, language_id, max_plus, sentence_spans, token_counts
+from . import cotraining, fingerprints, html_wrappers, language_id, max_plus, sentence_spans, token_counts
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_plus.summary(max_plus.encode_texts(docs))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return cotraining.classify(docs, table(spark, sf_dir, "labels")).drop("text", "source", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_html_extraction": op3_html_extraction,
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_language_id": op8_language_id,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
