@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, decontamination, fingerprints, html_wrappers, language_id, max_plus, sentence_spans, token_counts
+from . import cotraining, decontamination, fingerprints, html_wrappers, language_id, max_plus, near_duplicates, sentence_spans, token_counts
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.dedup(docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_html_extraction": op3_html_extraction,
     "op4_sentence_spans": op4_sentence_spans,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op7_fingerprints": op7_fingerprints,
     "op8_language_id": op8_language_id,
