@@ -128,9 +128,11 @@ class Index:
         return [(t, j, *v) for (t, j), v in sorted(best.items())]
 
     def _windows(self, runs, k, first, counts, place, item, text, best) -> None:
+        if not len(place):
+            return
         order = np.lexsort((place, self.sizes[item], text))
         place, size, text = place[order], self.sizes[item][order], text[order]
-        cuts = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (size[1:] != size[:-1])))) if len(text) else []
+        cuts = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (size[1:] != size[:-1]))))
         for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
             t, words = int(text[a]), int(size[a])
             window = min(words, int(counts[t]))
