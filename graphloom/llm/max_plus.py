@@ -37,8 +37,9 @@ from .textops import powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 15
+RESULTS = ("n_chunks", "n_tokens", "round_trip", "ids", "ids_digest")
 #: Words and pairs that a worker remembers.
-MEMORY = 1 << 19
+MEMORY = 1 << 18
 
 _MARK = "▁"
 _CUT = re.compile(rf"(?<=[^{_MARK}]){_MARK}")
@@ -79,7 +80,7 @@ class Lattice:
         self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         proto.normalizer_spec.add_dummy_prefix = False
         self.kernel = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def normal(self, text: str) -> str:
@@ -98,11 +99,10 @@ class Lattice:
                 memo.clear()
                 new = set(words)
             new = list(new)
-            memo.update(zip(new, self.kernel.encode(new, num_threads=1), strict=True))
-        out = array("i")
-        for w in words:
-            out.extend(memo[w])
-        return out
+            for i in range(0, len(new), 4096):
+                part = new[i : i + 4096]
+                memo.update((w, array("i", ids).tobytes()) for w, ids in zip(part, self.kernel.encode(part, num_threads=1), strict=True))
+        return array("i", b"".join(map(memo.__getitem__, words)))
 
     def encode(self, text: str) -> array:
         return self.words(_WORD.findall(self.normal(text)))
@@ -273,30 +273,39 @@ def _states(text: str) -> list[tuple[int, int]]:
     return [tuple(x) for x in json.loads(text)]
 
 
-def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """Every row of ``docs`` with ``ids array<int>`` and ``n_chunks`` in place of ``text``,
-    and with ``tk``, the MD5 of the text as bytes.
+def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, digest: bool = False) -> DataFrame:
+    """Every row of ``docs`` with, in place of ``text``: n_chunks, n_tokens, round_trip (whether
+    the ids decode to the text), and ``ids array<int>``, or with ``digest`` ids_digest, a
+    hexadecimal digest of the ids in order.
 
     Texts up to ``chunk`` characters are encoded where they are read.  Giant texts are dealt
     out by chunk: matrices, forward scan, exits, backward scan, paths.  Null and empty texts
-    have no ids.  Repeated rows stay; columns did, tk, ids and n_chunks of ``docs`` are replaced."""
-    keep = [c for c in docs.columns if c not in ("text", "did", "tk", "ids", "n_chunks")]
+    have no ids.  A text that holds the space mark itself comes back with a space.  Repeated
+    rows stay; columns of ``docs`` with the names of results, or did and tk, are replaced."""
+    keep = [c for c in docs.columns if c not in ("text", "did", "tk", *RESULTS)]
     rows = docs.select(*keep, "text", long_key().alias("did") if "doc_id" in keep else F.lit(0).cast("long").alias("did"), text_key().alias("tk"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     giant = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    head = "".join(f"`{c}` {kinds[c]}, " for c in keep)
+    schema = f"{head}n_chunks int, n_tokens long, round_trip boolean, " + ("ids_digest string" if digest else "ids array<int>")
+
+    def result(part, chunks, found: list[array], same: list[bool]):
+        counts = [len(x) for x in found]
+        if digest:
+            last = pa.array([f"{polynomial(np.frombuffer(x, np.int32)):016x}" for x in found], pa.string())
+        else:
+            flat_ids = np.frombuffer(b"".join(x.tobytes() for x in found), np.int32)
+            last = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat_ids))
+        return pa.RecordBatch.from_arrays([*(column(part, c) for c in keep), chunks, pa.array(counts, pa.int64()), pa.array(same, pa.bool_()), last], names=[*keep, "n_chunks", "n_tokens", "round_trip", "ids_digest" if digest else "ids"])
 
     def whole(batch):
         model_ = lattice(model)
-        for part in slices(batch, "text"):
-            found, ends = array("i"), [0]
-            for t in column(part, "text").to_pylist():
-                found.extend(model_.encode(t or ""))
-                ends.append(len(found))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(found, np.int32)))
-            yield pa.RecordBatch.from_arrays([column(part, c) for c in (*keep, "tk")] + [pa.array([1] * part.num_rows, pa.int32()), lists], names=[*keep, "tk", "n_chunks", "ids"])
+        for part in slices(batch.select([*keep, "text"]), "text"):
+            texts = [t or "" for t in column(part, "text").to_pylist()]
+            found = [model_.encode(t) for t in texts]
+            yield result(part, pa.array([1] * part.num_rows, pa.int32()), found, [model_.decode(x) == t for x, t in zip(found, texts, strict=True)])
 
-    head = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    small = by_batch(rows.where(~giant), whole, f"{head}tk binary, n_chunks int, ids array<int>")
+    small = by_batch(rows.where(~giant).select(*keep, "text"), whole, schema)
 
     def cut(batch):
         model_ = lattice(model)
@@ -357,7 +366,16 @@ def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Dat
 
     paths = by_batch(traced.join(states, ["did", "tk", "part"]), path, f"{keyed}, ids array<int>")
     joined = paths.groupBy("did", "tk").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p")).select("did", "tk", F.size("p").alias("n_chunks"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
-    large = large_rows.drop("text").join(joined, ["did", "tk"]).select(*keep, "tk", "n_chunks", "ids")
+
+    def finish(batch):
+        model_ = lattice(model)
+        for i in range(0, batch.num_rows, 16):
+            part = batch.slice(i, 16)
+            found = [array("i", x) for x in column(part, "ids").to_pylist()]
+            same = [hashlib.md5(model_.decode(x).encode()).digest() == k for x, k in zip(found, column(part, "tk").to_pylist(), strict=True)]
+            yield result(part, column(part, "n_chunks"), found, same)
+
+    large = by_batch(large_rows.select(*keep, "did", "tk").join(joined, ["did", "tk"]).select(*keep, "tk", "n_chunks", "ids"), finish, schema)
     return small.unionByName(large)
 
 
@@ -367,29 +385,11 @@ def decode_texts(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     names = [c for c in encoded.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "text") + ", text string"
 
-    def run(batch):
-        model_ = lattice(model)
-        texts = [model_.decode(ids or []) for ids in column(batch, "ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
-
-    return by_batch(encoded.select(*names), run, schema)
-
-
-def summary(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_chunks, n_tokens, ids_digest (hexadecimal, order-aware), round_trip (decoding gives the text)."""
-    fields = ["doc_id", "n_chunks", "n_tokens", "ids_digest", "round_trip"]
-
     def run(batch):
         model_ = lattice(model)
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            lists = column(part, "ids")
-            counts, digests, same = [], [], []
-            for ids, tk in zip(lists, column(part, "tk").to_pylist(), strict=True):
-                own = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
-                counts.append(len(own))
-                digests.append(f"{polynomial(own):016x}")
-                same.append(hashlib.md5(model_.decode(own.tolist()).encode()).digest() == tk)
-            yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "n_chunks"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], names=fields)
-
-    return by_batch(encoded.select("doc_id", "n_chunks", "ids", "tk"), run, "doc_id long, n_chunks int, n_tokens long, ids_digest string, round_trip boolean")
+            texts = [model_.decode(ids or []) for ids in column(part, "ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in names), pa.array(texts, pa.string())], names=[*names, "text"])
+
+    return by_batch(encoded.select(*names), run, schema)

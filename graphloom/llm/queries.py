@@ -47,7 +47,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return max_plus.summary(max_plus.encode_texts(docs))
+    return max_plus.encode_texts(docs, digest=True)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
