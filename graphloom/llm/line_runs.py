@@ -121,7 +121,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     An interval for h lines serves all ``min_lines`` up to h; the smallest h does for the
     lines to delete, larger ones tell the runs' lengths.  For other numbers than powers of two
     the last interval below is cut by the suffix min_lines - h lines on, as the two overlap."""
-    marks, parts, last = None, [], None
+    marks, last = None, None
     for h, table in intervals(docs):
         if h >= min_lines:
             own = table.where("later").select("did", "tk", "pos", F.least(F.lit(h), "left").cast("int").alias("size")).where(F.col("size") >= min_lines)
@@ -136,13 +136,14 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             own = None
         if own is not None:
             part = stored(own)
-            parts.append(part)
             marks = part if marks is None else marks.unionByName(part)
         if last is not None:
             release(last)
         last = table
-    if last is not None:
-        release(last)
+    if marks is None:  # no two suffixes share so much as half of min_lines
+        empty = "did long, tk binary, marks array<struct<pos:int,size:int>>"
+        return docs.sparkSession.createDataFrame([], empty)
+    release(last)
     # of one place the longest shared run
     longest = marks.groupBy("did", "tk", "pos").agg(F.max("size").alias("size"))
     return stored(longest.groupBy("did", "tk").agg(F.collect_list(F.struct("pos", "size")).alias("marks")))
