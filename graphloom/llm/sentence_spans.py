@@ -95,11 +95,15 @@ def _emit(batch):
         did = column(part, "did").to_numpy()[doc]
         tk = column(part, "tk").take(pa.array(doc))
         pos = (at - head[doc]).astype(np.int32)
-        tie = np.argsort(np.argsort(np.array(column(part, "tk").to_pylist(), object), kind="stable"), kind="stable")[doc] if part.num_rows else doc
+        _, rank = np.unique(np.array(column(part, "tk").to_pylist(), "S16"), return_inverse=True)
+        tie = rank[doc] if part.num_rows else doc
         order = np.lexsort((pos, tie, did, h))
         later = np.zeros(len(h), bool)
         if len(h):
-            later[order[1:]] = h[order[1:]] == h[order[:-1]]
+            # the first of each hash, and what repeats its row wholly, isn't a later copy
+            start = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+            first = order[np.flatnonzero(start)[np.cumsum(start) - 1]]
+            later[order] = (did[order] != did[first]) | (tie[order] != tie[first]) | (pos[order] != pos[first])
         yield batch_of(MARKS, did, tk, h.view(np.int64), pos, size.astype(np.int32), later)
 
 
