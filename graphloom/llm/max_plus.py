@@ -105,7 +105,8 @@ class Lattice:
         return array("i", b"".join(map(memo.__getitem__, words)))
 
     def encode(self, text: str) -> array:
-        return self.words(_WORD.findall(self.normal(text)))
+        """Ids of a text that is one chunk: its one path, from the library."""
+        return array("i", self.kernel.encode(self.normal(text)))
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
