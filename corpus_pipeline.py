@@ -26,8 +26,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less later copies of line runs; n_chars follows the text."""
-    done = line_runs.dedup(docs).where("n_lines > n_deleted or n_lines = 0")
+    """Documents less later copies of line runs and of long lines; n_chars follows the text."""
+    done = line_runs.dedup(docs, long_words=line_runs.LONG_WORDS).where("n_lines > n_deleted or n_lines = 0")
     chars = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", chars).select(*COLUMNS)
 

@@ -9,7 +9,8 @@ are alone in their class, or that end within h lines, are final; each round take
 documents with suffixes that aren't, until there are none.
 
 In every interval of ``min_lines`` lines or more the first suffix stays and all others
-are later copies, whose shared lines are deleted.
+are later copies, whose shared lines are deleted.  A single line is a run too if it has
+``long_words`` words or more, where that is given.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import by_batch, column, flat, long_key, release, slices, stored, text_key
-from .textops import span_hashes
+from .textops import span_hashes, word_spans
 
 MIN_LINES = 2
+#: Words of a line that is a run alone, for those who ask for that.
+LONG_WORDS = 50
 
 
-def _lines(batch):
+def _lines(batch, long_words: int | None = None):
     for part in slices(batch, "text"):
         data, offs = flat(column(part, "text"))
         some = offs[1:] > offs[:-1]
@@ -42,7 +45,11 @@ def _lines(batch):
             end[final] = offs[doc[final] + 1]
         pos = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
         ids = span_hashes(data, start, end)
-        yield pa.RecordBatch.from_arrays([column(part, "did").take(pa.array(doc)), column(part, "tk").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(ids.view(np.int64))], names=["did", "tk", "pos", "line"])
+        long = np.zeros(len(doc), bool)
+        if long_words is not None:
+            words = word_spans(data, offs)[0]
+            long = np.searchsorted(words, end) - np.searchsorted(words, start) >= long_words
+        yield pa.RecordBatch.from_arrays([column(part, "did").take(pa.array(doc)), column(part, "tk").take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(ids.view(np.int64)), pa.array(long)], names=["did", "tk", "pos", "line", "long"])
 
 
 def running_sums(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -75,21 +82,22 @@ def running_sums(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return part.join(shift, "task").select(*names, (F.col("before") + F.col("shift")).alias("before"))
 
 
-def intervals(docs: DataFrame):
+def intervals(docs: DataFrame, long_words: int | None = None):
     """Rounds of prefix doubling.  Yields (h, table (did, tk, pos, left, rank, open, later)):
     the suffixes of documents that had open ones, by their ranks for h lines; ``left``: lines
     from there to the document's end; ``open``: others share the h lines and there may be
-    more; ``later``: an earlier suffix shares the h lines, or all that is left."""
+    more; ``later``: an earlier suffix shares the h lines, or all that is left.  The first
+    table also has ``long``: the line has ``long_words`` words or more."""
     rows = docs.select(long_key().alias("did"), text_key().alias("tk"), "text")
     whole = Window.partitionBy("did", "tk")
-    lines = by_batch(rows, _lines, "did long, tk binary, pos int, line long")
+    lines = by_batch(rows, lambda b: _lines(b, long_words), "did long, tk binary, pos int, line long, long boolean")
     # rows that repeat another wholly are one document
-    lines = stored(lines.repartition("did", "tk").groupBy("did", "tk", "pos").agg(F.first("line").alias("line")).withColumn("left", F.count("*").over(whole) - F.col("pos")))
+    lines = stored(lines.repartition("did", "tk").groupBy("did", "tk", "pos").agg(F.first("line").alias("line"), F.first("long").alias("long")).withColumn("left", F.count("*").over(whole) - F.col("pos")))
     place = F.struct("did", "tk", "pos")
     seen = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     ranks = running_sums(seen, ["line"], "n")
     now = lines.join(ranks.select("line", F.col("before").alias("rank"), "n", "first"), "line")
-    now = now.select("did", "tk", "pos", "left", "rank", (F.col("n") > 1).alias("open"), ((F.col("n") > 1) & (place != F.col("first"))).alias("later"))
+    now = now.select("did", "tk", "pos", "left", "rank", "long", (F.col("n") > 1).alias("open"), ((F.col("n") > 1) & (place != F.col("first"))).alias("later"))
     now = stored(now)
     release(lines)
     h = 1
@@ -114,15 +122,17 @@ def intervals(docs: DataFrame):
         now, h = new, 2 * h
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """(did, tk, marks array<struct<pos, size>>): by document, where ``size`` lines from line
-    ``pos`` on are a later copy.
+    ``pos`` on are a later copy.  Lines of ``long_words`` words or more are runs alone.
 
     An interval for h lines serves all ``min_lines`` up to h; the smallest h does for the
     lines to delete, larger ones tell the runs' lengths.  For other numbers than powers of two
     the last interval below is cut by the suffix min_lines - h lines on, as the two overlap."""
     marks, last = None, None
-    for h, table in intervals(docs):
+    for h, table in intervals(docs, long_words):
+        if h == 1 and long_words is not None and min_lines > 1:
+            marks = stored(table.where("later and long").select("did", "tk", "pos", F.lit(1).alias("size")))
         if h >= min_lines:
             own = table.where("later").select("did", "tk", "pos", F.least(F.lit(h), "left").cast("int").alias("size")).where(F.col("size") >= min_lines)
         elif 2 * h > min_lines:
@@ -173,9 +183,9 @@ def _delete(batch, names):
         yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (totals, gone, longest))], names=[*names, "text", "n_lines", "n_deleted", "longest_run"])
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_words: int | None = None) -> DataFrame:
     """Every row of ``docs`` with ``text`` less all later copies of runs of ``min_lines`` lines
-    or more, ``n_lines`` before, ``n_deleted``, and ``longest_run`` of deleted lines.
+    or more, and of single lines of ``long_words`` words or more (None: of none), ``n_lines`` before, ``n_deleted``, and ``longest_run`` of deleted lines.
 
     Lines end at line feeds and are compared exactly.  The first copy, by doc_id (null last),
     text and line, stays; copies may overlap and lie in one document.  Rows that repeat another
@@ -183,7 +193,7 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     nor has an empty one.  Extra columns stay; those with the names of results or of did, tk, marks are dropped."""
     own = {"text", "n_lines", "n_deleted", "longest_run", "did", "tk", "marks"}
     names = [c for c in docs.columns if c not in own]
-    marks = repeated_runs(docs, min_lines)
+    marks = repeated_runs(docs, min_lines, long_words)
     rows = docs.select(*names, "text", long_key().alias("did"), text_key().alias("tk")).join(marks, ["did", "tk"], "left").select(*names, "text", "marks")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string, n_lines long, n_deleted long, longest_run long"])

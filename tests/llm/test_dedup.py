@@ -47,6 +47,20 @@ def test_line_runs_odd(odd, docs):
     assert line_runs.dedup(docs([])).count() == 0
 
 
+def test_long_lines(spark, docs, words):
+    """A long line is a run alone: between other neighbours, as a whole document, at the start and end."""
+    import corpus_pipeline
+
+    long, short = " ".join(words(1, 50)), " ".join(words(2, 49))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd"), (3, long), (4, f"e\n{short}\nf"), (5, short), (6, f"{long}\ng\n{long}"), (7, "a\nh\nb")]
+    want = {1: rows[0][1], 2: "c\nd", 4: rows[3][1], 5: short, 6: "g", 7: rows[6][1]}
+    got = corpus_pipeline.line_dedup(spark, docs(rows), "").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert all(r["n_chars"] == len(want[r["doc_id"]]) for r in got)
+    # the query keeps to runs of two lines, as its SQL does
+    assert {r["doc_id"]: r["n_deleted"] for r in line_runs.dedup(docs(rows)).collect()} == dict.fromkeys(range(1, 8), 0)
+
+
 def test_suffix_ranks_are_places(docs):
     """All ranks together order the suffixes as the ids of their lines do."""
     rows = [(0, "a\nb\na\nb\na"), (1, "b\na\nb\nc"), (2, "c\na\nb\na")]
