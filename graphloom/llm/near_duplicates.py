@@ -26,6 +26,8 @@ from .components import components
 from .textops import counted, mix, shingles
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: A sum of shares that makes up 0.8 in numbers may come out this much lower in floats.
+ROUNDING = 1e-9
 #: A pair at a similarity of 0.8 shares no band with odds of (1 - 0.8 ** 4) ** 20, 1 to 38,000.
 BANDS, ROWS = 20, 4
 PLACES = BANDS * ROWS
@@ -177,7 +179,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         checked = stored(by_batch(found.select("a", "b", "x", "y"), _verified, "a binary, b binary, similarity double"))
         release(open_)
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        new = checked.where(F.col("similarity") >= threshold).select("a", "b")
+        new = checked.where(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
         links = new if links is None else links.unionByName(new)
         labels = components(links).select(F.col("node").alias("tk"), "component")
         if last:

@@ -185,6 +185,18 @@ def test_near_duplicates(docs, words):
     assert kept == {root(i) for i in bags}
 
 
+@pytest.mark.parametrize("union", [15, 60])
+def test_near_duplicates_tie(docs, union):
+    """A similarity of exactly 0.8 is a link, though its float value is lower; one shingle less is none."""
+    own = [f"t{union}x{i}" for i in range(union + 4)]
+    shared = union * 4 // 5
+    whole, tie, less = " ".join(own), " ".join(own[: shared + 4]), " ".join([f"z{x}" for x in own])
+    below = " ".join(less.split()[: shared + 3])
+    assert near_duplicates.similarity(near_duplicates.bag(whole), near_duplicates.bag(tie)) < 0.8
+    got = near_duplicates.near_duplicates(docs([(1, whole), (2, tie), (3, less), (4, below)])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_near_duplicates_odd(odd, docs):
     out = near_duplicates.near_duplicates(odd)
     assert out.count() == 13
