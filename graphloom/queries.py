@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from . import views
 from .functions import dof_weight, exclusive_scan, part_reduce
-from .graph import NGraph, add_edge_type, construct_vertices, remove_edge_type, source_target, undirected
+from .graph import NGraph, remove_edge_type, source_target, undirected
 from .iterate import work_dir
 from .operators import access, adjacency, coloring, metrics, migrate, traverse
 from .operators.validity import validity
@@ -685,12 +685,8 @@ def x15_part_flows(spark, d):
 
 @query("x16_balance_weights")
 def x16_balance_weights(spark, d):
-    """Plan of a graph of components whose parts weigh 100, 200, 300 and 400 a vertex."""
-    n = 25
-    v = spark.range(4 * n).select(F.col("id").alias("gid"), F.floor(F.col("id") / n).cast("int").alias("part"), (100.0 * (1 + F.floor(F.col("id") / n))).alias("w"))
-    g = construct_vertices(v, True, 4)
-    pins = v.select((F.col("gid") % n).alias("eid"), "gid")
-    return weight_diffusion.balance_weights(add_edge_type(g, pins), WeightInput(tolerance=1.025, step_factor=0.25, max_iterations=5))[1]
+    """Plan for the prices of all orders, whose four parts own 40, 30, 20 and 10 % of them."""
+    return weight_diffusion.balance_weights(views.h2(spark, d, skewed=True), WeightInput(tolerance=1.025, step_factor=0.25))[1]
 
 
 @query("x24_kway_labels")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,11 @@ from .graph import NGraph, add_edge_type, construct_graph, construct_vertices
 PARTS = 4
 
 
+def skewed_part(gid: Column, n: int) -> Column:
+    """Four parts that own 40, 30, 20 and 10 % of ``n`` vertices."""
+    return F.when(gid * 10 < 4 * n, 0).when(gid * 10 < 7 * n, 1).when(gid * 10 < 9 * n, 2).otherwise(3)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,17 +27,20 @@ def h1(spark: SparkSession, sf_dir: str, parts: int = PARTS, skewed: bool = Fals
     part = table(spark, sf_dir, "part")
     n = part.count()
     gid = F.col("p_partkey")
-    owner = F.when(gid * 10 < 4 * n, 0).when(gid * 10 < 7 * n, 1).when(gid * 10 < 9 * n, 2).otherwise(3) if skewed else block_part(gid, n, parts)
+    owner = skewed_part(gid, n) if skewed else block_part(gid, n, parts)
     vertices = part.select(gid.alias("gid"), owner.alias("part"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"), F.lit(0.0).alias("z"))
     items = table(spark, sf_dir, "lineitem")
     return construct_graph(vertices, [items.select(F.col(c).alias("eid"), F.col("l_partkey").alias("gid")) for c in ("l_orderkey", "l_suppkey")], True, parts)
 
 
-def h2(spark: SparkSession, sf_dir: str, parts: int = PARTS) -> NGraph:
-    """Orders as vertices with their price; customers (type 0) and parts (type 1) as hyperedges."""
+def h2(spark: SparkSession, sf_dir: str, parts: int = PARTS, skewed: bool = False) -> NGraph:
+    """Orders as vertices with their price; customers (type 0) and parts (type 1) as hyperedges.
+    ``skewed``: as in h1."""
     orders = table(spark, sf_dir, "orders")
     n = orders.count()
-    vertices = orders.select(F.col("o_orderkey").alias("gid"), F.col("o_totalprice").alias("w"), block_part(F.col("o_orderkey"), n, parts).alias("part"))
+    gid = F.col("o_orderkey")
+    owner = skewed_part(gid, n) if skewed else block_part(gid, n, parts)
+    vertices = orders.select(gid.alias("gid"), F.col("o_totalprice").alias("w"), owner.alias("part"))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("eid"), F.col("l_orderkey").alias("gid"))
     return construct_graph(vertices, [orders.select(F.col("o_custkey").alias("eid"), F.col("o_orderkey").alias("gid")), items], True, parts)
 

@@ -67,6 +67,31 @@ def test_weight_balance(spark, comps):
     assert plan.where("w <= 0").count() == 0 and plan.count() > 0
 
 
+def test_weight_balance_of_parts(spark):
+    """A graph of components whose parts weigh 100, 200, 300 and 400 a vertex."""
+    n = 25
+    v = spark.range(4 * n).select(F.col("id").alias("gid"), F.floor(F.col("id") / n).cast("int").alias("part"), (100.0 * (1 + F.floor(F.col("id") / n))).alias("w"))
+    g = add_edge_type(construct_vertices(v, True, 4), v.select((F.col("gid") % n).alias("eid"), "gid"))
+    done, plan = weight_diffusion.balance_weights(g, WeightInput(tolerance=1.025, step_factor=0.25, max_iterations=5))
+    assert done.vertices.agg(F.sum("w")).head()[0] == pytest.approx(1000 * n)
+    assert diffusive.imbalance(done, -1) < diffusive.imbalance(g, -1) and plan.count() > 0
+
+
+def test_weight_balance_query(spark, monkeypatch):
+    """The query balances all orders, with the method's own limit of steps."""
+    from graphloom.queries import QUERIES
+
+    seen = []
+    monkeypatch.setattr(weight_diffusion, "balance_weights", lambda g, given=WeightInput(): seen.append((g, given)) or (g, None))
+    QUERIES["x16_balance_weights"](spark, "/root/testdata/sf0.001")
+    (g, given), orders = seen[0], spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    both = g.vertices.join(orders, F.col("gid") == F.col("o_orderkey")).where("w = o_totalprice").count()
+    assert both == g.vertices.count() == orders.count()
+    assert given.max_iterations == WeightInput().max_iterations and diffusive.imbalance(g, -1) > 1.5
+    flows = weight_diffusion.select_flows(g, weight_diffusion.targets(g, -1, 0, 0.25, 10 * g.edges.count()))
+    assert flows.where("w > 0").count() > 0
+
+
 def test_part_flows(spark, grid):
     rows = weight_diffusion.part_flows(grid).collect()
     assert [(r["part"], r["nbr"]) for r in rows] == [(0, 1)] and 0 < rows[0]["w"] <= 80.0001
