@@ -544,7 +544,7 @@ def t5_boundary_queue(spark, d):
     b AS (SELECT 0::BIGINT AS gid, 0 AS depth UNION SELECT v, depth + 1 FROM b JOIN adj ON u = gid WHERE depth < 12)
     SELECT gid, min(depth)::INT AS depth FROM b WHERE gid IN (SELECT gid FROM v) GROUP BY gid""")
 def t6_bfs_depth(spark, d):
-    return traverse.bfs(views.t1(spark, d), 0, 0, max_depth=12)
+    return traverse.bfs(views.t1(spark, d), 0, 0)
 
 
 @query("t3_edge_distance_depth", "WITH RECURSIVE" + H1.strip().removeprefix("WITH") + """

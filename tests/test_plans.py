@@ -119,3 +119,13 @@ def test_traversal(spark):
     assert sorted((r["gid"], r["depth"]) for r in traverse.bfs(g, 0).collect()) == [(i, min(i, 8 - i)) for i in range(8)]
     assert traverse.pagerank(g).agg(F.sum("rank")).head()[0] == pytest.approx(1)
     assert traverse.is_directed(g).head()["n_one_way"] == 0
+
+
+def test_bfs_query_has_no_depth_bound(spark, monkeypatch):
+    """A line of 20 vertices is searched to its end."""
+    from graphloom import queries
+
+    v = spark.range(20).select(F.col("id").alias("gid"), F.lit(0).alias("part"))
+    pins = spark.range(19).select(F.col("id").alias("eid"), F.posexplode(F.array("id", F.col("id") + 1)).alias("pos", "gid"))
+    monkeypatch.setattr(queries.views, "t1", lambda spark, d: add_edge_type(construct_vertices(v, False, 1), pins))
+    assert sorted((r["gid"], r["depth"]) for r in queries.QUERIES["t6_bfs_depth"](spark, "").collect()) == [(i, i) for i in range(20)]
