@@ -51,8 +51,15 @@ def t1(spark: SparkSession, sf_dir: str, parts: int = PARTS) -> NGraph:
     users = events.select(F.col("user_id").alias("gid")).distinct()
     n = users.agg(F.max("gid")).head()[0] + 1
     g = construct_vertices(users.withColumn("part", block_part(F.col("gid"), n, parts)), False, parts)
-    follows = Window.partitionBy("event_type").orderBy("ts")
-    moves = events.select("event_type", F.col("event_id").alias("eid"), F.col("user_id").alias("u"), F.lead("user_id").over(follows).alias("v")).where("v is not null")
+    # a window a kind and hour; an hour's last event goes on to the first of the kind's next hour,
+    # which a table of a row a kind and hour tells
+    key = ["event_type", "hour"]
+    rows = events.select("event_type", F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "user_id")
+    first = rows.groupBy(*key).agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"))
+    after = first.select(*key, F.lead("first").over(Window.partitionBy("event_type").orderBy("hour")).alias("next"))
+    here = Window.partitionBy(*key).orderBy("ts", "event_id")
+    moves = rows.withColumn("then", F.lead(F.struct("user_id")).over(here)).join(after, key)
+    moves = moves.select("event_type", F.col("event_id").alias("eid"), F.col("user_id").alias("u"), F.when(F.col("then").isNull(), F.col("next")).otherwise(F.col("then.user_id")).alias("v")).where("v is not null")
     for kind in sorted(r[0] for r in events.select("event_type").distinct().collect()):
         own = moves.where(F.col("event_type") == kind)
         g = add_edge_type(g, own.select("eid", F.posexplode(F.array("u", "v")).alias("pos", "gid")))
