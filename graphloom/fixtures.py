@@ -81,3 +81,19 @@ def directed_line(spark: SparkSession) -> NGraph:
     """Eight vertices, three and five by part, edges as the language bindings' tests have them."""
     v = spark.createDataFrame([(g, int(g > 3)) for g in range(1, 9)], "gid long, part int")
     return _edges(spark, construct_vertices(v, False, 2), [(1, 2), (2, 3), (3, 4), (4, 3), (4, 5), (5, 6), (6, 7), (7, 8)])
+
+
+def disconnected(spark: SparkSession) -> NGraph:
+    """Two parts, with coordinates and a negative vertex.  Part 1 owns -1, 0 and an island of
+    three; at vertex 0 hang four components of part 0: lines of five, three and one, and a tree."""
+    lines = {100: 5, 200: 3, 400: 1}
+    edges = {0: [-1, 0], 2: [1, 2, 3], 300: [0, 300]}
+    edges |= {first + i: [first + i - 1 if i else 0, first + i] for first, n in lines.items() for i in range(n)}
+    edges |= {301 + i: [300 + i, 301 + 2 * i, 302 + 2 * i] for i in range(3)}
+    place = {-1: (0.0, 1.0), 0: (0.0, 0.0), 1: (1.0, 2.0), 2: (1.5, 2.5), 3: (1.5, 1.5), 300: (0.0, -0.5), 400: (0.0, 0.5)}
+    place |= {100 + i: (-0.5 * (i + 1), 0.0) for i in range(5)} | {200 + i: (0.5 * (i + 1), 0.0) for i in range(3)}
+    place |= {301: (-0.5, -1.0), 302: (0.5, -1.0)} | {303 + i: (0.5 * i - 0.75, -2.0) for i in range(4)}
+    rows = [(v, int(v < 100), x, y, 0.0) for v, (x, y) in place.items()]
+    g = construct_vertices(spark.createDataFrame(rows, "gid long, part int, x double, y double, z double"), True, 2)
+    homes = {e: int(e < 100) for e in edges}
+    return _hyper(spark, g, edges, homes)

@@ -114,6 +114,17 @@ def edge_cut(g: NGraph) -> DataFrame:
     return res.groupBy("etype").agg(F.sum(cut.cast("long")).alias("n_cut"), F.sum(F.when(cut, F.col("w")).otherwise(0.0)).alias("w_cut"), F.max(F.size("res")).cast("long").alias("max_residence"))
 
 
+def vertex_cut_edges(edges: DataFrame) -> DataFrame:
+    """[A14] (n_remote, n_split, edge_cut): of directed edges (part, u, v) dealt to parts, those whose
+    target is owned by another part, its least one, and the links of copies to their owners' vertex."""
+    ends = edges.select("part", F.explode(F.array("u", "v")).alias("gid")).distinct()
+    held = ends.groupBy("gid").agg(F.min("part").alias("owner"), F.count("*").alias("copies"))
+    remote = edges.select("part", F.col("v").alias("gid")).join(held, "gid").where("owner <> part").agg(F.count("*").alias("n_remote"))
+    split = held.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_split"))
+    # one row and one row
+    return remote.crossJoin(F.broadcast(split)).withColumn("edge_cut", F.col("n_remote") + F.col("n_split"))
+
+
 def vertex_cut(edges: DataFrame) -> DataFrame:
     """[A14] For edges (part, u, v) dealt to parts: copies of vertices over vertices, less 1, in percent."""
     ends = edges.select("part", F.explode(F.array("u", "v")).alias("gid")).groupBy("part", "gid").agg(F.lit(1).alias("one"))

@@ -18,6 +18,9 @@ class DiffusiveInput:
     selection_type: int = 0
     distance_queue: bool | None = None  # None: for hypergraphs
     min_connectivity: int = 1
+    connectivity_type: int = 0
+    count_ghosts: bool = False
+    part_weight_balancer: bool = False
     limit_cut_growth: float = 0.0
 
 

@@ -353,6 +353,15 @@ def a14_vertex_cut(spark, d):
     return metrics.vertex_cut(_dealt_edges(spark, d)).select("n_vertices", "n_copies", r6("inc_percent"))
 
 
+@query("a14_vertex_cut_edges", T1_SQL + """
+    , d AS (SELECT eid % 4 AS part, u, v FROM e WHERE etype = 0), p AS (SELECT part, u AS gid FROM d UNION SELECT part, v FROM d),
+    h AS (SELECT gid, min(part) AS owner, count(*) AS copies FROM p GROUP BY gid),
+    m AS (SELECT (SELECT count(*) FROM d JOIN h ON h.gid = d.v WHERE owner <> part)::BIGINT AS n_remote, (SELECT sum(copies - 1) FROM h)::BIGINT AS n_split)
+    SELECT n_remote, n_split, n_remote + n_split AS edge_cut FROM m""")
+def a14_vertex_cut_edges(spark, d):
+    return metrics.vertex_cut_edges(_dealt_edges(spark, d))
+
+
 @query("a13_evaluate_partition", H1S + """
     , ct AS (SELECT part, etype, count(*)::DOUBLE AS w FROM res GROUP BY ALL),
     gw AS (SELECT p.part, (SELECT count(*) FROM v WHERE v.part = p.part)::DOUBLE + (SELECT count(*) FROM ghost g WHERE g.part = p.part) AS w FROM parts p),
@@ -401,6 +410,18 @@ def a17_cavity_connections(spark, d):
     return own.groupBy("part", "size").agg(F.count("*").alias("n"))
 
 
+@query("a17_connected_pairs", H1 + """, c AS (SELECT eid, part, gid FROM po JOIN nres USING (etype, eid) WHERE etype = 0 AND k > 1),
+    adj AS (SELECT a.gid AS u, b.gid AS v, count(*) AS times FROM pins a JOIN pins b USING (etype, eid) WHERE etype = 0 AND a.gid <> b.gid GROUP BY ALL HAVING count(*) >= 2),
+    n AS (SELECT part, eid, least(u, v) AS u, greatest(u, v) AS v, count(*) AS n FROM c JOIN adj ON adj.u = c.gid GROUP BY part, eid, least(adj.u, adj.v), greatest(adj.u, adj.v))
+    SELECT part, eid, n::BIGINT AS held, count(*)::BIGINT AS pairs FROM n GROUP BY ALL""")
+def a17_connected_pairs(spark, d):
+    """Pairs that share two orders or more, by the cavity they touch and how many of the two it holds."""
+    g = views.h1(spark, d)
+    cut = g.residence(0).where(F.size("res") > 1).select(F.explode("res").alias("part"), "eid")
+    pairs = diffusive.cavity_connections(g, cut, least=2)
+    return pairs.groupBy("part", "eid", F.col("n").alias("held")).agg(F.count("*").alias("pairs"))
+
+
 @query("a18_cut_growth", H1 + """, c AS (SELECT po.gid, po.part, po.eid, max((r.part = (po.part + 1) % 4)::INT) AS onp FROM po JOIN res r USING (etype, eid) WHERE etype = 0 GROUP BY ALL)
     SELECT gid, CASE WHEN sum(onp) > 0 THEN round(sum(1 - onp)::DOUBLE / sum(onp), 6) END AS growth FROM c GROUP BY gid""")
 def a18_cut_growth(spark, d):
@@ -669,6 +690,13 @@ def x5_selection_plan(spark, d):
     return diffusive.select(g, targets.targets(g), diffusive.distance_queue(g))
 
 
+@query("x7_disconnected")
+def x7_disconnected(spark, d):
+    """The plan with cavities added that nothing but two shared orders or more would hold."""
+    g = views.h1(spark, d, skewed=True)
+    return diffusive.select(g, targets.targets(g), traverse.boundary_edges(g), min_connectivity=2)
+
+
 @query("x14_balance")
 def x14_balance(spark, d):
     """Imbalance of the skewed graph before and after balancing its vertices."""
@@ -678,6 +706,15 @@ def x14_balance(spark, d):
     return one(g, "before").unionByName(one(done, "after"))
 
 
+@query("x14_balance_two")
+def x14_balance_two(spark, d):
+    """The same for orders' copies first and vertices then, by the part-weight balancer's flows."""
+    g = views.h2(spark, d, skewed=True)
+    done = diffusive.balance(g, DiffusiveInput(((0, 1.1), (-1, 1.1)), max_iterations_per_type=6, step_factor=0.5, part_weight_balancer=True))
+    one = lambda x, when: metrics.imbalances(x).select(F.lit(when).alias("state"), "dim", r6("imb"))
+    return one(g, "before").unionByName(one(done, "after"))
+
+
 @query("x15_part_flows")
 def x15_part_flows(spark, d):
     return weight_diffusion.part_flows(views.h1(spark, d, skewed=True)).select("part", "nbr", r6("w"))

@@ -8,6 +8,7 @@ from graphloom.graph import add_edge_type, construct_vertices
 from graphloom.operators import coloring, metrics, traverse
 from graphloom.operators.validity import validity
 from graphloom.plans import DiffusiveInput, Stagnation, WeightInput, diffusive, split, weight_diffusion
+from graphloom.timers import Timers
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +130,84 @@ def test_bfs_query_has_no_depth_bound(spark, monkeypatch):
     pins = spark.range(19).select(F.col("id").alias("eid"), F.posexplode(F.array("id", F.col("id") + 1)).alias("pos", "gid"))
     monkeypatch.setattr(queries.views, "t1", lambda spark, d: add_edge_type(construct_vertices(v, False, 1), pins))
     assert sorted((r["gid"], r["depth"]) for r in queries.QUERIES["t6_bfs_depth"](spark, "").collect()) == [(i, i) for i in range(20)]
+
+
+def test_balance_two_priorities(grid):
+    """Edges first and vertices then, at a tolerance of 1.1: either meets it, and the graph stays valid."""
+    timers = Timers()
+    done = diffusive.balance(grid, DiffusiveInput(((0, 1.1), (-1, 1.1)), max_iterations_per_type=12, step_factor=0.6), timers)
+    assert diffusive.imbalance(done, 0) < 1.11 and diffusive.imbalance(done, -1) < 1.11
+    assert all(r["violations"] == 0 for r in validity(done).collect())
+    assert done.vertices.count() == 400 and {n for n, *_ in timers.rows()} >= {"selection", "migration"}
+
+
+def test_balance_by_part_weights(grid):
+    given = DiffusiveInput(((-1, 1.1),), max_iterations_per_type=12, step_factor=0.6, part_weight_balancer=True, count_ghosts=False)
+    done = diffusive.balance(grid, given)
+    assert diffusive.imbalance(done, -1) < 1.11
+
+
+def test_weights_with_ghosts(grid):
+    own, more = (diffusive.imbalance(grid, -1, x) for x in (False, True))
+    w = {r["part"]: r["w"] for r in metrics.weights(grid, -1, ghosts=True).collect()}
+    assert own == pytest.approx(1.4) and more == pytest.approx(max(w.values()) * 2 / sum(w.values())) and sum(w.values()) == 440
+
+
+def test_disconnected_fixture(spark):
+    g = fixtures.disconnected(spark)
+    assert {r["part"]: r["count"] for r in g.vertices.groupBy("part").count().collect()} == {0: 16, 1: 5}
+    assert {r["part"]: r["n"] for r in traverse.count_disconnected(g).collect()} == {0: 3, 1: 1}
+    far = diffusive.distance_queue(g).where("part = 0").orderBy("rank").collect()
+    again = diffusive.distance_queue(g.with_(pins=g.pins.repartition(7, "gid"))).where("part = 0").orderBy("rank").collect()
+    assert {r["eid"] for r in far} == {100, 200, 300, 400} and far == again
+
+
+def test_connections_and_disconnected_cavities(spark):
+    """Pairs of a cavity with one end outside; a cavity goes once all of them have an end that goes."""
+    v = spark.createDataFrame([(i, int(i >= 4)) for i in range(8)], "gid long, part int")
+    pins = {0: [2, 4], 1: [2, 3], 2: [2, 3], 3: [0, 1], 4: [4, 5], 5: [1, 6], 6: [6, 7]}
+    g = add_edge_type(construct_vertices(v, True, 2), spark.createDataFrame([(e, x) for e, xs in pins.items() for x in xs], "eid long, gid long"))
+    cut = traverse.boundary_edges(g)
+    got = {(r["part"], r["eid"], r["u"], r["v"], r["n"]) for r in diffusive.cavity_connections(g, cut, least=2).collect()}
+    assert got == {(0, 0, 2, 3, 1)}
+    # no targets are left for what is chosen by weight, but part 0's vertex 1 has no pair that holds it
+    goals = spark.createDataFrame([(0, 1, 0.0)], "part int, nbr int, target double")
+    plan = diffusive.select(g, goals, cut, min_connectivity=2).collect()
+    assert [(r["part"], r["gid"], r["dest"]) for r in plan] == [(0, 1, 1)]
+    assert diffusive.select(g, goals, cut).count() == 0
+
+
+def test_visit(spark):
+    g = fixtures.ring(spark, 3)
+    seen = []
+    traverse.bfs(g, 0, visit=lambda depth, new: seen.append((depth, sorted(r["gid"] for r in new.collect()))))
+    assert seen[:2] == [(1, [1, 11]), (2, [2, 10])]
+    assert traverse.bfs(g, 0, visit=lambda depth, new: depth < 2).agg(F.max("depth")).head()[0] == 2
+
+
+def test_vertex_cut_edges(spark):
+    dealt = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (1, 2, 4), (1, 4, 1)], "part int, u long, v long")
+    assert tuple(metrics.vertex_cut_edges(dealt).head()) == (1, 2, 3)
+
+
+def test_work_dir_is_shared(spark, monkeypatch):
+    from graphloom import iterate
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(ValueError):
+        iterate.work_dir(Session)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom.__main__ import main
+    from graphloom.sinks import write_bgd
+    from graphloom.sources import read_bgd
+
+    write_bgd(fixtures.hyper(spark, 2), f"{tmp_path}/g")
+    assert main(["balance", f"{tmp_path}/g", f"{tmp_path}/out", "--tolerance", "1.5"]) == 0
+    assert "vertex_weight" in capsys.readouterr().out and read_bgd(spark, f"{tmp_path}/out").vertices.count() == 8
