@@ -412,8 +412,8 @@ def a17_cavity_connections(spark, d):
 
 @query("a17_connected_pairs", H1 + """, c AS (SELECT eid, part, gid FROM po JOIN nres USING (etype, eid) WHERE etype = 0 AND k > 1),
     adj AS (SELECT a.gid AS u, b.gid AS v, count(*) AS times FROM pins a JOIN pins b USING (etype, eid) WHERE etype = 0 AND a.gid <> b.gid GROUP BY ALL HAVING count(*) >= 2),
-    n AS (SELECT part, eid, least(u, v) AS u, greatest(u, v) AS v, count(*) AS n FROM c JOIN adj ON adj.u = c.gid GROUP BY part, eid, least(adj.u, adj.v), greatest(adj.u, adj.v))
-    SELECT part, eid, n::BIGINT AS held, count(*)::BIGINT AS pairs FROM n GROUP BY ALL""")
+    met AS (SELECT part, eid, least(u, v) AS u, greatest(u, v) AS v, count(*) AS held FROM c JOIN adj ON adj.u = c.gid GROUP BY part, eid, least(adj.u, adj.v), greatest(adj.u, adj.v))
+    SELECT part, eid, held::BIGINT AS held, count(*)::BIGINT AS pairs FROM met GROUP BY part, eid, held""")
 def a17_connected_pairs(spark, d):
     """Pairs that share two orders or more, by the cavity they touch and how many of the two it holds."""
     g = views.h1(spark, d)
