@@ -7,11 +7,18 @@ all its places.  Two signatures agree on a place with the probability Jaccard si
 their texts, which is computed exactly for what bands propose.
 
 Equal texts are one node.  A bucket of a band doesn't send out all pairs: its members are
-first compared with one of them, links are joined into classes, and this goes on with
-other ones as long as much is left.  The members of buckets that still hold several classes
-get a longer signature, whose bands tell texts that are alike by half from near duplicates.
-Of its buckets all pairs of different classes are compared, so that no link between two
-classes is lost.
+compared with two of them, those that share buckets with most others, and links are joined
+into classes.  Buckets that hold several classes after that are open.  Of their members only
+pairs of different classes are left that pass an exact bound.
+
+The bound comes from the rarest shingles.  In one order of all shingles, rare ones first, let
+w be the first that two bags of sizes X and Y share, and a and b the shares of X and Y before
+w.  No shingle before w is shared, so that the similarity is at most
+(1 - a)(1 - b) / (1 - ab), and, with s = min((1 - a)X, (1 - b)Y) and the shares r and q of
+shingles that a bag holds more than once, at most s / (X + Y - s) + r + q.  A shingle of a link
+lies in the first fifth of either bag, and copies that differ from a common text in places of
+their own fail the second bound unless they are links.  A class enters this join as bins of
+its members' figures, so that a large class costs a few rows a shingle.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_batch, column, flat, long_key, release, slices, stored, text_key
 from .components import components
@@ -31,11 +39,10 @@ ROUNDING = 1e-9
 #: A pair at a similarity of 0.8 shares no band with odds of (1 - 0.8 ** 4) ** 20, 1 to 38,000.
 BANDS, ROWS = 20, 4
 PLACES = BANDS * ROWS
-#: The same for the second, longer signature: odds of (1 - 0.8 ** 10) ** 100, 1 to 81,000; at a
-#: similarity of 0.5 a pair meets in a tenth of a bucket on average, and not in 1.25.
-LONG_BANDS, LONG_ROWS = 100, 10
-#: Rounds of comparing with one member at most before all remaining pairs are.
-STAR_ROUNDS = 3
+#: Members that all others of a bucket are compared with; what stays open goes through the bound.
+HUBS = 2
+#: Bins a unit of a member's share before a shingle, of its size's logarithm and of its repeats.
+BINS = 50
 
 
 def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, places: int = PLACES) -> np.ndarray:
@@ -100,7 +107,7 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 def _signed(batch, keys: tuple[str, ...], count: int, rows: int):
     """Rows (keys, bands) of texts; no bands where there are no words."""
-    for part in slices(batch, "text", 1 << 20 if count > BANDS else 2 << 20):
+    for part in slices(batch, "text"):
         text, h = shingles(*flat(column(part, "text")), SHINGLE)
         text, h, weight = counted(text, h)
         found = bands(signatures(text, h, weight, part.num_rows, count * rows), count)
@@ -134,64 +141,103 @@ def _verified(batch):
         yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
+def _weighed(batch):
+    """(tk, size, repeats, shingle, count) of every shingle of a text: ``size`` is the bag's, ``repeats``
+    the share of shingles that it holds more than once."""
+    for part in slices(batch, "text"):
+        text, h = shingles(*flat(column(part, "text")), SHINGLE)
+        text, h, count = counted(text, h)
+        size = np.bincount(text, count, part.num_rows)
+        twice = np.bincount(text, np.where(count > 1, count, 0), part.num_rows) / np.maximum(size, 1)
+        yield pa.RecordBatch.from_arrays([column(part, "tk").take(pa.array(text)), pa.array(size[text]), pa.array(twice[text]), pa.array(h.view(np.int64)), pa.array(count.astype(np.int32))], names=["tk", "size", "repeats", "shingle", "count"])
+
+
+def _bound(x: str, y: str, threshold: float):
+    """Whether the similarity of rows or bins ``x`` and ``y`` can reach the threshold; a bin has the
+    least share before the shingle, the sizes from low to high, and the most repeats."""
+    a, b = F.col(f"{x}.share"), F.col(f"{y}.share")
+    shared = F.least((1 - a) * F.col(f"{x}.high"), (1 - b) * F.col(f"{y}.high"))
+    flat_ = shared / F.greatest(F.col(f"{x}.low") + F.col(f"{y}.low") - shared, shared) + F.col(f"{x}.repeats") + F.col(f"{y}.repeats")
+    return ((1 - a) * (1 - b) >= (threshold - ROUNDING) * (1 - a * b) - ROUNDING) & (flat_ >= threshold - ROUNDING)
+
+
+def bounded_pairs(texts: DataFrame, labels: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """All pairs (a, b) of ``texts`` (tk, text) whose ``labels`` (tk, label) differ and whose similarity
+    can reach ``threshold`` by their rarest shingles.  Every pair that does reach it is there."""
+    bags = stored(by_batch(texts, _weighed, "tk binary, size double, repeats double, shingle long, count int"))
+    often = bags.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = Window.partitionBy("tk").orderBy(F.coalesce("n", F.lit(1)), "shingle")
+    share = (F.sum("count").over(ranked) - F.col("count")) / F.col("size")
+    rows = bags.join(often, "shingle", "left").withColumn("share", share)
+    # a shingle of one text alone pairs nothing
+    rows = rows.where(F.col("n").isNotNull() & (F.col("share") <= 1 - threshold + ROUNDING))
+    rows = stored(rows.select("shingle", "tk", "share", "repeats", F.col("size").alias("low"), F.col("size").alias("high")).join(labels, "tk"))
+    release(bags)
+    bin_ = [F.floor(F.col("share") * BINS).alias("i"), F.floor(F.log("low") * BINS).alias("j"), F.ceil(F.col("repeats") * BINS).alias("k")]
+    binned = rows.select("*", *bin_)
+    key = ["shingle", "label", "i", "j", "k"]
+    bins = binned.groupBy(*key).agg(F.min("share").alias("share"), F.max("repeats").alias("repeats"), F.min("low").alias("low"), F.max("high").alias("high"))
+    x, y = bins.alias("x"), bins.alias("y")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & _bound("x", "y", threshold))
+    met = stored(met.select(*(F.col(f"x.{c}").alias(f"x_{c}") for c in key), *(F.col(f"y.{c}").alias(f"y_{c}") for c in key[1:])))
+    one = binned.select(F.struct("tk", "share", "low", "high", "repeats").alias("x"), *(F.col(c).alias(f"x_{c}") for c in key))
+    two = binned.select(F.struct("tk", "share", "low", "high", "repeats").alias("y"), F.col("shingle").alias("x_shingle"), *(F.col(c).alias(f"y_{c}") for c in key[1:]))
+    pairs = met.join(one, [f"x_{c}" for c in key])
+    on = ["x_shingle", *(f"y_{c}" for c in key[1:])]
+    pairs = pairs.alias("p").join(two.alias("q"), [F.col(f"p.{c}") == F.col(f"q.{c}") for c in on] + [_bound("x", "y", threshold)])
+    return pairs.select(F.least("x.tk", "y.tk").alias("a"), F.greatest("x.tk", "y.tk").alias("b")).distinct()
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    x, y = (texts.select(F.col("tk").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
+    found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return stored(by_batch(found, _verified, "a binary, b binary, similarity double"))
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(did, tk, class_did, class_tk, class_size) for every distinct document (id and text).
+    """(did, tk, class_did, class_tk, worded) for every distinct document (id and text).
 
     A class is what links of similarity ``threshold`` or more join; it is named by its first
     document, by id (null last) and then text.  A text with one to four words is one shingle
-    of all its words; texts without words are never linked, not even to each other.  Rows
-    that repeat another wholly are one document here."""
+    of all its words; null, empty and other texts without words are never linked, not even to
+    each other.  Rows that repeat another wholly are one document here.  A text is signed and
+    compared whole, however long.  An empty table has no classes."""
     rows = docs.select(long_key().alias("did"), text_key().alias("tk"), "text")
     signed = stored(by_batch(rows, lambda b: _signed(b, ("did", "tk"), BANDS, ROWS), "did long, tk binary, bands array<long>"))
     nodes = stored(signed.where("size(bands) > 0").groupBy("tk").agg(F.min("did").alias("did"), F.first("bands").alias("bands")))
     spread = nodes.select("tk", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(spread.join(full.select("bucket"), "bucket").select("bucket", "tk"))
+    members = stored(spread.join(full, "bucket").select("bucket", "tk", "n"))
+    central = members.groupBy("tk").agg(F.sum("n").alias("weight"))
     # the texts of all that share a bucket, one row for each
     wanted = members.select("tk").distinct().join(nodes.select("tk", "did"), "tk")
     texts = stored(rows.join(wanted, ["did", "tk"], "left_semi").groupBy("tk").agg(F.first("text").alias("text")))
-    links, tried, labels = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        here = members if labels is None else members.join(labels, "tk", "left")
-        here = here.select("bucket", "tk", (F.col("tk") if labels is None else F.coalesce("component", "tk")).alias("label"))
-        open_ = here.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("tk", F.xxhash64("tk", F.lit(turn))).alias("star")).where("low <> high")
-        open_ = stored(open_.select("bucket", "n", "star"))
-        total = open_.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("pairs")).head()
-        if not total["rows"]:
-            break
-        here = here.join(open_, "bucket")
-        last = turn == STAR_ROUNDS or turn > 0 and total["pairs"] <= 8 * total["rows"]
-        if last:
-            left = texts.join(here.select("tk").distinct(), "tk", "left_semi")
-            long = by_batch(left, lambda b: _signed(b, ("tk",), LONG_BANDS, LONG_ROWS), "tk binary, bands array<long>")
-            long = stored(long.select("tk", F.explode("bands").alias("bucket")).join(here.select("tk", "label").distinct(), "tk"))
-            mixed = long.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-            long = stored(long.join(mixed, "bucket"))
-            other = long.select("bucket", F.col("tk").alias("b"), F.col("label").alias("label_b"))
-            pairs = long.select("bucket", F.col("tk").alias("a"), "label").join(other, "bucket").where("a < b and label <> label_b").select("a", "b")
-        else:
-            star = here.where("tk = star").select("bucket", F.col("label").alias("label_b"))
-            pairs = here.join(star, "bucket").where("label <> label_b").select(F.least("tk", "star").alias("a"), F.greatest("tk", "star").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        found = pairs.join(texts.select(F.col("tk").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("tk").alias("b"), F.col("text").alias("y")), "b")
-        checked = stored(by_batch(found.select("a", "b", "x", "y"), _verified, "a binary, b binary, similarity double"))
-        release(open_)
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        new = checked.where(F.col("similarity") >= threshold - ROUNDING).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links).select(F.col("node").alias("tk"), "component")
-        if last:
-            break
+    first = Window.partitionBy("bucket").orderBy(F.desc("weight"), "tk")
+    hubs = members.join(central, "tk").withColumn("r", F.row_number().over(first)).where(F.col("r") <= HUBS)
+    pairs = members.join(hubs.select("bucket", F.col("tk").alias("hub")), "bucket").where("tk <> hub")
+    checked = _verify(pairs.select(F.least("tk", "hub").alias("a"), F.greatest("tk", "hub").alias("b")).distinct(), texts)
+    near = F.col("similarity") >= threshold - ROUNDING
+    links, labels = checked.where(near).select("a", "b"), None
+    if not links.isEmpty():
+        labels = components(links).select(F.col("node").alias("tk"), F.col("component").alias("label"))
+    here = members.select("bucket", "tk", F.col("tk").alias("label")) if labels is None else members.join(labels, "tk", "left").select("bucket", "tk", F.coalesce("label", "tk").alias("label"))
+    here = stored(here)
+    open_ = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    left = stored(here.join(open_.select("bucket"), "bucket", "left_semi").select("tk", "label").distinct())
+    release(here)
+    if not left.isEmpty():
+        pairs = bounded_pairs(texts.join(left.select("tk"), "tk", "left_semi"), left, threshold)
+        more = _verify(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts).where(near).select("a", "b")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more)).select(F.col("node").alias("tk"), F.col("component").alias("label"))
     release(texts)
     named = nodes.select("tk", "did")
     if labels is not None:
         named = named.join(labels, "tk", "left")
     else:
-        named = named.withColumn("component", F.lit(None).cast("binary"))
-    heads = named.groupBy(F.coalesce("component", "tk").alias("component")).agg(F.min(F.struct("did", "tk")).alias("head"))
-    heads = named.select("tk", F.coalesce("component", "tk").alias("component")).join(heads, "component").select("tk", "head")
+        named = named.withColumn("label", F.lit(None).cast("binary"))
+    heads = named.groupBy(F.coalesce("label", "tk").alias("label")).agg(F.min(F.struct("did", "tk")).alias("head"))
+    heads = named.select("tk", F.coalesce("label", "tk").alias("label")).join(heads, "label").select("tk", "head")
     distinct = signed.groupBy("did", "tk").agg(F.max(F.size("bands")).alias("n"))
     out = distinct.join(heads, "tk", "left")
     out = out.select("did", "tk", F.coalesce("head.did", "did").alias("class_did"), F.coalesce("head.tk", "tk").alias("class_tk"), (F.col("n") > 0).alias("worded"))
@@ -208,12 +254,16 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 
 def deduplicate(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row of ``docs`` for each class, all columns; rows without words all stay."""
+    """One row of ``docs`` for each class, all columns; rows without words all stay.
+
+    Of rows with the first document's id and text the one whose columns have the smallest
+    hash stays, so that the choice doesn't depend on the partitioning.  Extra columns stay,
+    whatever their names; an empty table stays empty."""
     found = classes(docs, threshold)
-    keys = found.where("worded and did = class_did and tk = class_tk").select("did", "tk").withColumn("once", F.lit(True))
-    keys = keys.unionByName(found.where("not worded").select("did", "tk").withColumn("once", F.lit(False)))
+    keys = found.where("worded and did = class_did and tk = class_tk").select("did", "tk")
+    bare = found.where("not worded").select("did", "tk")
     mine = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(F.struct(*mine).alias("row"), long_key().alias("did"), text_key().alias("tk")).join(keys, ["did", "tk"])
-    # a repeated row stays once; the numbers keep wordless rows apart
-    rows = rows.withColumn("copy", F.when(F.col("once"), F.lit(0)).otherwise(F.monotonically_increasing_id())).groupBy("did", "tk", "copy").agg(F.first("row").alias("row"))
-    return rows.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    rows = docs.select(F.struct(*mine).alias("row"), F.xxhash64(*(F.col(c) for c in docs.columns)).alias("order"), long_key().alias("did"), text_key().alias("tk"))
+    first = rows.join(keys, ["did", "tk"]).groupBy("did", "tk").agg(F.min_by("row", "order").alias("row"))
+    out = first.select("row").unionByName(rows.join(bare, ["did", "tk"], "left_semi").select("row"))
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
