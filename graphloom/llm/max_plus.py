@@ -5,13 +5,14 @@ neighbours are what BPE makes of their joined text.  So the path is a best path
 (max, +), where a step weighs 0 if the pieces fit and minus infinity if they don't, and
 its states at a place are the pieces that end there.
 
-A giant text is cut into chunks at any place.  The state at a boundary is the first piece
+A text is cut into chunks at any place.  The state at a boundary is the first piece
 that ends at or after it: (how far after, how long).  A chunk is a transfer matrix from the
 states before it to those after it; as all weights are 0 or minus infinity, a row is kept as
 the set of states it leads to.  Matrices combine associatively; a forward scan over a text's
-few matrices gives the states that the text's start can lead to, a backward scan over the
-chunks' maps from exit to entry gives the states on the path, and every chunk is then
-traced back on its own.
+matrices gives the states that the text's start can lead to, a backward scan over them the
+states on the path, and every chunk is then traced back on its own.  Chunks of a giant text
+are dealt out to all tasks, those of other texts stay where the text is read; the steps are
+the same.
 
 Inside a chunk, words are independent: pieces have the space mark at their start only, so
 that every path has a cut before each run of marks.  Whole words go to the library.
@@ -19,7 +20,6 @@ that every path has a cut before each run of marks.  Whole words go to the libra
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from array import array
@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +37,16 @@ from .common import by_batch, column, long_key, slices, stored, text_key
 from .textops import powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 15
+#: Characters of a chunk, and of the texts whose chunks are dealt out.
+CHUNK, GIANT = 1 << 13, 1 << 16
 RESULTS = ("n_chunks", "n_tokens", "round_trip", "ids", "ids_digest")
-#: Words and pairs that a worker remembers.
-MEMORY = 1 << 18
+#: Pairs of pieces that a worker remembers.
+MEMORY = 1 << 16
+#: A state that stands for the one at the text's end.
+END = (-1, -1)
 
 _MARK = "▁"
 _CUT = re.compile(rf"(?<=[^{_MARK}]){_MARK}")
-_WORD = re.compile(rf"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 
 
 class Lattice:
@@ -80,7 +83,6 @@ class Lattice:
         self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         proto.normalizer_spec.add_dummy_prefix = False
         self.kernel = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.memo: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def normal(self, text: str) -> str:
@@ -90,23 +92,17 @@ class Lattice:
         found = self.pieces.get(piece)
         return [self.byte_ids[b] for b in piece.encode()] if found is None else [found]
 
-    def words(self, words: list[str]) -> array:
-        """Ids of whole words, one after another."""
-        memo = self.memo
-        new = {w for w in words if w not in memo}
-        if new:
-            if len(memo) + len(new) > MEMORY:
-                memo.clear()
-                new = set(words)
-            new = list(new)
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                memo.update((w, array("i", ids).tobytes()) for w, ids in zip(part, self.kernel.encode(part, num_threads=1), strict=True))
-        return array("i", b"".join(map(memo.__getitem__, words)))
-
-    def encode(self, text: str) -> array:
-        """Ids of a text that is one chunk: its one path, from the library."""
-        return array("i", self.kernel.encode(self.normal(text)))
+    def encode(self, text: str, chunk: int = CHUNK) -> tuple[array, int]:
+        """Ids of a text by the scan over its chunks, and the number of chunks."""
+        parts = cut_chunks(self.normal(text), chunk, self.longest)
+        ids = array("i")
+        if len(parts) < 2:
+            for part in parts:
+                ids.extend(self.trace(*part, [(0, 0)], END)[1])
+            return ids, 1
+        for part, (entry, leave) in zip(parts, states([self.matrix(*x) for x in parts]), strict=True):
+            ids.extend(self.trace(*part, [entry], leave)[1])
+        return ids, len(parts)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -178,10 +174,12 @@ class Lattice:
                     out.append((a, length))
         return out
 
-    def split(self, s: str, size: int, cut: int) -> tuple[list[str], int]:
-        """Whole words from ``cut`` on, and where the last word starts, which may go on after the chunk."""
-        words = _WORD.findall(s[cut:size])
-        return words[:-1], size - len(words[-1])
+    def last_word(self, s: str, size: int, cut: int) -> int:
+        """Where the last word from ``cut`` on starts, which may go on after the chunk; whole words stand before it."""
+        last = s.rfind(_MARK, cut, size)
+        while last > cut and s[last - 1] == _MARK:
+            last -= 1
+        return last
 
     def exits(self, reached: dict, size: int, base: int = 0) -> list[tuple[int, int]]:
         return [(at - size + base, length) for at in sorted(reached) if at + base >= size for length in reached[at] if length > at + base - size or length == 0]
@@ -192,13 +190,13 @@ class Lattice:
         rows = self.entries(before, s)
         if cut < 0:
             return {e: self.exits(self.forward(before + s, len(before), [e], size), size) for e in rows}
-        _, last = self.split(s, size, cut)
+        last = self.last_word(s, size, cut)
         tail = self.exits(self.forward(s, last, [(0, 0)], size - last), size, last)
         return {e: tail if self.forward((before + s)[: len(before) + cut], len(before), [e], cut).get(cut) else [] for e in rows}
 
     def trace(self, before: str, s: str, size: int, entries: list, leave: tuple[int, int] | None) -> tuple[dict, array]:
         """With the entries that the text's start leads to: the entry of every exit, and the
-        ids on the path to the exit ``leave`` (None: no ids)."""
+        ids on the path to the exit ``leave`` (END: the text's; None: no ids)."""
         cut, ids = self.first_cut(before, s, size), array("i")
 
         def back_from(reached, full, base, at, length):
@@ -211,21 +209,25 @@ class Lattice:
         to = {}
         if cut < 0:
             reached = self.forward(before + s, len(before), entries, size)
-            for e in self.exits(reached, size):
+            out = self.exits(reached, size)
+            leave = last_exit(out) if leave == END else leave
+            for e in out:
                 to[e], got = back_from(reached, before + s, len(before), e[0] + size, e[1])
                 if e == leave:
                     ids.extend(got)
             return to, ids
-        whole, last = self.split(s, size, cut)
+        last = self.last_word(s, size, cut)
         full = (before + s)[: len(before) + cut]
         head = self.forward(full, len(before), entries, cut)
         tail = self.forward(s, last, [(0, 0)], size - last)
         start, first = back_from(head, full, len(before), cut, max(head[cut]))
-        for e in self.exits(tail, size, last):
+        out = self.exits(tail, size, last)
+        leave = last_exit(out) if leave == END else leave
+        for e in out:
             to[e] = start
             if e == leave:
                 ids.extend(first)
-                ids.extend(self.words(whole))
+                ids.extend(self.kernel.encode(s[cut:last]))
                 ids.extend(back_from(tail, s, last, e[0] + size - last, e[1])[1])
         return to, ids
 
@@ -245,13 +247,28 @@ def product(x: dict, y: dict) -> dict:
     return {e: times(row, y) for e, row in x.items()}
 
 
+def states(matrices: list[dict]) -> list[tuple]:
+    """(entry, exit) of every chunk on the text's one path: a scan forward over its matrices for
+    the states its start leads to, and one backward from its end."""
+    entries, at = [], [(0, 0)]
+    for m in matrices:
+        entries.append(at)
+        at = times(at, m)
+    leave, out = last_exit(at), []
+    for entry, m in zip(reversed(entries), reversed(matrices), strict=True):
+        first = next(tuple(e) for e in entry if leave in map(tuple, m.get(tuple(e), ())))
+        out.append((first, leave))
+        leave = first
+    return out[::-1]
+
+
 def cut_chunks(text: str, chunk: int, reach: int) -> list[tuple[str, str, int]]:
     return [(text[max(0, i - reach) : i], text[i : i + chunk + reach - 1], min(chunk, len(text) - i)) for i in range(0, len(text), chunk)]
 
 
-def last_exit(to: dict) -> tuple[int, int]:
+def last_exit(to) -> tuple[int, int]:
     """The state at the text's end."""
-    return next(e for e in sorted(to) if e[0] == 0)
+    return next(tuple(e) for e in sorted(to) if e[0] == 0)
 
 
 def polynomial(ids: np.ndarray, before: int = 0) -> int:
@@ -270,114 +287,127 @@ def _dump(pairs) -> str:
     return json.dumps([[k, v] for k, v in pairs.items()] if isinstance(pairs, dict) else pairs)
 
 
-def _states(text: str) -> list[tuple[int, int]]:
-    return [tuple(x) for x in json.loads(text)]
+def _each(batch, *names):
+    """Rows of a batch, one at a time: a batch of chunks may be large."""
+    columns = [column(batch, c) for c in names]
+    return (tuple(c[i].as_py() for c in columns) for i in range(batch.num_rows))
+
+
+def _ids_column(packed: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, digest: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, digest: bool = False, giant: int = GIANT) -> DataFrame:
     """Every row of ``docs`` with, in place of ``text``: n_chunks, n_tokens, round_trip (whether
     the ids decode to the text), and ``ids array<int>``, or with ``digest`` ids_digest, a
     hexadecimal digest of the ids in order.
 
-    Texts up to ``chunk`` characters are encoded where they are read.  Giant texts are dealt
-    out by chunk: matrices, forward scan, exits, backward scan, paths.  Null and empty texts
-    have no ids.  A text that holds the space mark itself comes back with a space.  Repeated
-    rows stay; columns of ``docs`` with the names of results, or did and tk, are replaced."""
+    All texts are encoded by chunks of ``chunk`` characters; those of texts over ``giant``
+    characters are dealt out: matrices, scans over a text's matrices, paths.  A text of 2^31
+    bytes, the most a row can hold, has 2^18 matrices in one scan.  Null and empty texts
+    have no ids and one chunk.  A text that holds the space mark itself comes back with a space.  Repeated
+    rows stay; an empty table stays empty; columns of ``docs`` with the names of results, or did and tk, are replaced."""
     keep = [c for c in docs.columns if c not in ("text", "did", "tk", *RESULTS)]
     rows = docs.select(*keep, "text", long_key().alias("did") if "doc_id" in keep else F.lit(0).cast("long").alias("did"), text_key().alias("tk"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    giant = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    large = F.coalesce(F.length("text"), F.lit(0)) > giant
     head = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    schema = f"{head}n_chunks int, n_tokens long, round_trip boolean, " + ("ids_digest string" if digest else "ids array<int>")
-
-    def result(part, chunks, found: list[array], same: list[bool]):
-        counts = [len(x) for x in found]
-        if digest:
-            last = pa.array([f"{polynomial(np.frombuffer(x, np.int32)):016x}" for x in found], pa.string())
-        else:
-            flat_ids = np.frombuffer(b"".join(x.tobytes() for x in found), np.int32)
-            last = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat_ids))
-        return pa.RecordBatch.from_arrays([*(column(part, c) for c in keep), chunks, pa.array(counts, pa.int64()), pa.array(same, pa.bool_()), last], names=[*keep, "n_chunks", "n_tokens", "round_trip", "ids_digest" if digest else "ids"])
+    last = ("ids_digest", "string") if digest else ("ids", "array<int>")
+    schema = f"{head}n_chunks int, n_tokens long, round_trip boolean, {last[0]} {last[1]}"
 
     def whole(batch):
         model_ = lattice(model)
-        for part in slices(batch.select([*keep, "text"]), "text"):
-            texts = [t or "" for t in column(part, "text").to_pylist()]
-            found = [model_.encode(t) for t in texts]
-            yield result(part, pa.array([1] * part.num_rows, pa.int32()), found, [model_.decode(x) == t for x, t in zip(found, texts, strict=True)])
-
-    small = by_batch(rows.where(~giant).select(*keep, "text"), whole, schema)
+        for part in slices(batch.select([*keep, "text"]), "text", 1 << 20):
+            packed, chunks, same = [], [], []
+            for (t,) in _each(part, "text"):
+                ids, n = model_.encode(t or "", chunk)
+                packed.append(ids.tobytes())
+                chunks.append(n)
+                same.append(model_.decode(ids) == (t or ""))
+            made = pa.array([f"{polynomial(np.frombuffer(x, np.int32)):016x}" for x in packed], pa.string()) if digest else _ids_column(packed)
+            counts = pa.array([len(x) // 4 for x in packed], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in keep), pa.array(chunks, pa.int32()), counts, pa.array(same, pa.bool_()), made], names=[*keep, "n_chunks", "n_tokens", "round_trip", last[0]])
+
+    small = by_batch(rows.where(~large).select(*keep, "text"), whole, schema)
 
     def cut(batch):
         model_ = lattice(model)
-        for part in slices(batch, "text"):
-            for did, tk, t in zip(*(column(part, c).to_pylist() for c in ("did", "tk", "text")), strict=True):
-                made = cut_chunks(model_.normal(t), chunk, model_.longest)
+        for did, tk, t in _each(batch, "did", "tk", "text"):
+            t = model_.normal(t)
+            for i in range(0, len(t), 64 * chunk):  # a batch of 64 chunks
+                made = [(t[max(0, j - model_.longest) : j], t[j : j + chunk + model_.longest - 1], min(chunk, len(t) - j)) for j in range(i, min(i + 64 * chunk, len(t)), chunk)]
                 n = len(made)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([did] * n, pa.int64()), pa.array([tk] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([x for x, _, _ in made], pa.string()), pa.array([x for _, x, _ in made], pa.string()), pa.array([x for _, _, x in made], pa.int32())],
+                    [pa.array([did] * n, pa.int64()), pa.array([tk] * n, pa.binary()), pa.array(range(i // chunk, i // chunk + n), pa.int32()), *(pa.array(list(x), kind) for x, kind in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True))],
                     names=["did", "tk", "part", "before", "s", "size"],
                 )
 
     keyed = "did long, tk binary, part int"
-    large_rows = rows.where(giant)
+    large_rows = rows.where(large)
     cuts = by_batch(large_rows.groupBy("did", "tk").agg(F.first("text").alias("text")), cut, f"{keyed}, before string, s string, size int")
     chunks = stored(cuts.repartition("did", "tk", "part"))
 
-    def add(batch, name, values, kind):
-        return pa.RecordBatch.from_arrays([column(batch, c) for c in ("did", "tk", "part")] + [pa.array(values, kind)], names=["did", "tk", "part", name])
-
-    def each(batch, *names):
-        return zip(*(column(batch, c).to_pylist() for c in names), strict=True)
+    def one_by_one(batch, names, fn, kinds_):
+        """Batches of 64 rows: the keys and what ``fn`` makes of the columns ``names``."""
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            made = zip(*(fn(*x) for x in _each(part, *names)), strict=True)
+            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("did", "tk", "part")), *(pa.array(list(v), k) for v, (_, k) in zip(made, kinds_, strict=True))], names=["did", "tk", "part", *(n for n, _ in kinds_)])
 
     def matrices(batch):
         model_ = lattice(model)
-        yield add(batch, "m", [_dump(model_.matrix(*x)) for x in each(batch, "before", "s", "size")], pa.string())
+        yield from one_by_one(batch, ("before", "s", "size"), lambda *x: (_dump(model_.matrix(*x)),), [("m", pa.string())])
 
     def scan(pdf):
         pdf = pdf.sort_values("part", ignore_index=True)
-        entry, out = [(0, 0)], []
-        for m in pdf["m"]:
-            out.append(_dump(entry))
-            entry = times(entry, {tuple(k): v for k, v in json.loads(m)})
-        return pdf[["did", "tk", "part"]].assign(entry=out)
+        found = states([{tuple(k): v for k, v in json.loads(m)} for m in pdf["m"]])
+        return pdf[["did", "tk", "part"]].assign(entry=[json.dumps(e) for e, _ in found], leave=[json.dumps(x) for _, x in found])
 
-    entries = stored(by_batch(chunks, matrices, f"{keyed}, m string").groupBy("did", "tk").applyInPandas(scan, f"{keyed}, entry string"))
-    traced = chunks.join(entries, ["did", "tk", "part"])
+    between = by_batch(chunks, matrices, f"{keyed}, m string").groupBy("did", "tk").applyInPandas(scan, f"{keyed}, entry string, leave string")
 
-    def exits(batch):
+    def path(batch):
         model_ = lattice(model)
-        yield add(batch, "back", [_dump(model_.trace(b, s, z, _states(e), None)[0]) for b, s, z, e in each(batch, "before", "s", "size", "entry")], pa.string())
 
-    def leave(pdf):
-        pdf = pdf.sort_values("part", ignore_index=True)
-        at, out = None, []
-        for back in reversed([{tuple(k): tuple(v) for k, v in json.loads(x)} for x in pdf["back"]]):
-            at = at or last_exit(back)
-            out.append(_dump(at))
-            at = back[at]
-        return pdf[["did", "tk", "part"]].assign(leave=out[::-1])
+        def trace(before, s, size, entry, leave):
+            entry, leave = tuple(json.loads(entry)), tuple(json.loads(leave))
+            ids = model_.trace(before, s, size, [entry], leave)[1]
+            # pieces that start in the chunk, and what they stand for
+            span = s[entry[0] : size + leave[0]]
+            found = b"".join(map(model_.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+            return len(ids), found == span, polynomial(np.frombuffer(ids, np.int32)) - (1 << 63) if digest else 0, None if digest else ids.tobytes()
 
-    states = stored(by_batch(traced, exits, f"{keyed}, back string").groupBy("did", "tk").applyInPandas(leave, f"{keyed}, leave string"))
+        yield from one_by_one(batch, ("before", "s", "size", "entry", "leave"), trace, [("n", pa.int64()), ("same", pa.bool_()), ("value", pa.int64()), ("packed", pa.binary())])
 
-    def path(batch):
-        model_ = lattice(model)
-        made = [model_.trace(b, s, z, _states(e), tuple(json.loads(x)))[1].tolist() for b, s, z, e, x in each(batch, "before", "s", "size", "entry", "leave")]
-        yield add(batch, "ids", made, pa.list_(pa.int32()))
-
-    paths = by_batch(traced.join(states, ["did", "tk", "part"]), path, f"{keyed}, ids array<int>")
-    joined = paths.groupBy("did", "tk").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p")).select("did", "tk", F.size("p").alias("n_chunks"), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
+    paths = by_batch(chunks.join(between, ["did", "tk", "part"]), path, f"{keyed}, n long, same boolean, value long, packed binary")
+    parts = F.array_sort(F.collect_list(F.struct("part", "n", "same", "value", "packed"))).alias("p")
+    joined = paths.groupBy("did", "tk").agg(parts)
 
     def finish(batch):
-        model_ = lattice(model)
         for i in range(0, batch.num_rows, 16):
             part = batch.slice(i, 16)
-            found = [array("i", x) for x in column(part, "ids").to_pylist()]
-            same = [hashlib.md5(model_.decode(x).encode()).digest() == k for x, k in zip(found, column(part, "tk").to_pylist(), strict=True)]
-            yield result(part, column(part, "n_chunks"), found, same)
-
-    large = by_batch(large_rows.select(*keep, "did", "tk").join(joined, ["did", "tk"]).select(*keep, "tk", "n_chunks", "ids"), finish, schema)
-    return small.unionByName(large)
+            chunks_, counts, same, made = [], [], [], []
+            for (p,) in _each(part, "p"):
+                chunks_.append(len(p))
+                counts.append(sum(x["n"] for x in p))
+                # the space mark itself comes back as a space
+                same.append(all(x["same"] for x in p))
+                if digest:
+                    total = before = 0
+                    for x in p:
+                        total += (x["value"] + (1 << 63)) * pow(int(powers(2)[1]), before, 1 << 64)
+                        before += x["n"]
+                    made.append(f"{total % (1 << 64):016x}")
+                else:
+                    made.append(b"".join(x["packed"] for x in p))
+            values = pa.array(made, pa.string()) if digest else _ids_column(made)
+            same = pa.array(same, pa.bool_())
+            same = pc.and_(same, column(part, "plain"))
+            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in keep), pa.array(chunks_, pa.int32()), pa.array(counts, pa.int64()), same, values], names=[*keep, "n_chunks", "n_tokens", "round_trip", last[0]])
+
+    plain = (~F.contains("text", F.lit(_MARK))).alias("plain")
+    found = by_batch(large_rows.select(*keep, "did", "tk", plain).join(joined, ["did", "tk"]).select(*keep, "plain", "p"), finish, schema)
+    return small.unionByName(found)
 
 
 def decode_texts(encoded: DataFrame, model: str = MODEL) -> DataFrame:
