@@ -1,10 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-Every sentence starts one span: the shortest run of sentences from there that has
-``SENTENCES`` sentences and ``WORDS`` words, or that has ``LONG`` words.  The end depends
-on nothing but the run's own sentences, so equal passages have equal spans.  Spans are
-hashed and joined over all documents; all sentences covered by a span that isn't the
-first of its kind are removed.
+A sentence here ends with each of its clauses, after a mark or at a line's end: a passage that
+begins and ends within sentences then shares all but its outermost clauses with its copies.
+Every sentence starts one span: the shortest run of sentences from there that has ``WORDS``
+words.  The end depends on nothing but the run's own sentences, so equal passages have equal
+spans.  Spans are hashed and joined over all documents; all sentences covered by a span that
+isn't the first of its kind are removed.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql.window import Window
 from .common import batch_of, column, flat, long_key, slices, stored, text_key
 from .textops import span_hashes, word_spans
 
-SENTENCES, WORDS, LONG = 3, 12, 50
+WORDS = 24
 
 _END = np.zeros(256, bool)
-_END[[33, 46, 63]] = True
+_END[[ord(c) for c in ".!?,;:"]] = True
 _LINE = np.zeros(256, bool)
 _LINE[[10, 13]] = True
 
@@ -30,8 +31,8 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Sentences of all texts: begin and end byte (the white space after it included), the
     hash of its words, and its number of words; then each text's first sentence (n + 1 counts).
 
-    A sentence ends after a word whose last byte is . ! or ? and at the end of a line; text
-    without words before it belongs to the first sentence."""
+    A sentence ends after a word whose last byte is one of . ! ? , ; : and at the end of a line;
+    text without words before it belongs to the first sentence."""
     starts, ends, first = word_spans(data, offs)
     if not len(starts):
         return *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
@@ -62,14 +63,12 @@ def spans(hashes: np.ndarray, words: np.ndarray, head: np.ndarray) -> tuple[np.n
     limit = head[1:][text]
     total = np.concatenate(([0], np.cumsum(words)))
     at = np.arange(n)
-    by_long = np.searchsorted(total, total[at] + LONG)
-    by_count = np.maximum(at + SENTENCES, np.searchsorted(total, total[at] + WORDS))
-    end = np.minimum(by_long, by_count)
+    end = np.searchsorted(total, total[at] + WORDS)
     ok = end <= limit
     at, end = at[ok], end[ok]
     size = end - at
     out = np.zeros(len(at), np.uint64)
-    for k in np.unique(size):  # at most LONG sizes
+    for k in np.unique(size):  # at most WORDS sizes
         pick = size == k
         value = np.zeros(int(pick.sum()), np.uint64)
         with np.errstate(over="ignore"):
@@ -147,8 +146,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     The first occurrence, by (doc_id, text, place) with null ids last, stays.  Rows that
     repeat another row wholly count as one document and get the same result.  A null text
-    stays null, an empty one empty.  Extra columns stay; those named n_sentences,
-    n_removed, did, tk or marks are replaced or dropped."""
+    stays null, an empty one empty; a text is taken whole, however long, and an empty table
+    stays empty.  Extra columns stay; those named n_sentences, n_removed, did, tk or marks are
+    replaced or dropped."""
     own = {"text", "n_sentences", "n_removed", "did", "tk", "marks"}
     names = [c for c in docs.columns if c not in own]
     marks = stored(repeated(docs))
