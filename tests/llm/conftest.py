@@ -26,10 +26,13 @@ def docs(spark):
 def words():
     """A function from (seed, n) to n made-up words."""
 
+    stocks = {}
+
     def make(seed, n, size=400):
         rng = random.Random(seed)
-        stock = ["".join(random.Random(f"w{i}").choice(["ba", "re", "ti", "no", "su", "lé"]) for _ in range(2 + i % 3)) + str(i) for i in range(size)]
-        return [rng.choice(stock) for _ in range(n)]
+        if size not in stocks:
+            stocks[size] = ["".join(random.Random(f"w{i}").choice(["ba", "re", "ti", "no", "su", "lé"]) for _ in range(2 + i % 3)) + str(i) for i in range(size)]
+        return [rng.choice(stocks[size]) for _ in range(n)]
 
     return make
 

@@ -89,7 +89,7 @@ def brute_spans(rows):
         for n, (a, b) in enumerate(spots):
             own.append(text[a:b])
             last = n == len(spots) - 1
-            if last or text[b - 1] in ".!?" or re.search(r"[\n\r]", text[b : spots[n + 1][0]]):
+            if last or text[b - 1] in ".!?,;:" or re.search(r"[\n\r]", text[b : spots[n + 1][0]]):
                 end = len(text) if last else spots[n + 1][0]
                 sents.append((begin, end, tuple(own)))
                 begin, own = end, []
@@ -98,7 +98,7 @@ def brute_spans(rows):
             total = 0
             for k in range(1, len(sents) - a + 1):
                 total += len(sents[a + k - 1][2])
-                if k >= 3 and total >= 12 or total >= 50:
+                if total >= 24:
                     key = tuple(x[2] for x in sents[a : a + k])
                     if key in seen:
                         gone |= set(range(a, a + k))
@@ -110,7 +110,7 @@ def brute_spans(rows):
 
 def test_sentence_spans(docs, words):
     rng = random.Random(3)
-    sent = [" ".join(words(i, rng.randint(1, 12))) + rng.choice(".!?") for i in range(40)] + [" ".join(words(99, 60)) + "."]
+    sent = [" ".join(words(i, rng.randint(1, 12))) + rng.choice(".!?,;:") for i in range(40)] + [" ".join(words(99, 60)) + "."]
     rows = [(i, "".join(rng.choice(sent) + rng.choice([" ", "\n", "  "]) for _ in range(rng.randint(0, 12)))) for i in range(40)]
     passage = " ".join(sent[:6])
     rows += [(60 + i, f"{words(200 + i, 8)[0]} start.\n{passage}\nEnd {i}.") for i in range(3)]
@@ -120,6 +120,35 @@ def test_sentence_spans(docs, words):
     assert passage in got[60][2] and passage not in got[61][2]
 
 
+def prose(stock, rng, n):
+    """Sentences of 3 to 24 words with some commas, ``n`` words or a little more."""
+    out = []
+    while len(out) < n:
+        own = [rng.choice(stock) for _ in range(rng.randint(3, 24))]
+        out += [w + "," * (rng.random() < 0.12 and i + 1 < len(own)) for i, w in enumerate(own)]
+        out[-1] += rng.choice(".!?")
+    return out
+
+
+def test_sentence_spans_planted(docs, words):
+    """Passages of 51 to 90 words that begin and end anywhere, in the middle of other documents'
+    sentences: the later copies lose text, documents without a passage lose none."""
+    rng = random.Random(11)
+    stock, rows, later = words(1, 4000, 3000), [], []
+    for g in range(150):
+        source, at = prose(stock, rng, 160), rng.randint(0, 60)
+        passage = source[at : at + rng.randint(51, 90)]
+        for c in range(2):
+            own = prose(stock, rng, 120)
+            cut = rng.randint(5, 110)
+            rows.append((10 * g + c, " ".join(own[:cut] + passage + own[cut:])))
+        later.append(10 * g + 1)
+        rows.append((10 * g + 5, " ".join(prose(stock, rng, 200))))
+    got = {r["doc_id"]: r["n_removed"] for r in sentence_spans.dedup(docs(rows)).collect()}
+    assert sum(got[i] > 0 for i in later) / len(later) >= 0.95
+    assert not any(got[i] for i in got if i not in later)
+
+
 def test_sentence_spans_odd(odd, docs):
     by = {}
     for r in sentence_spans.dedup(odd).collect():
@@ -185,6 +214,40 @@ def test_near_duplicates(docs, words):
     assert kept == {root(i) for i in bags}
 
 
+def test_near_duplicates_large_group(spark, docs, words, monkeypatch):
+    """One group of near copies of a text, with links of some pairs only: the classes are those of
+    brute force, and the pairs compared grow with the group, not with its square."""
+    kept = []
+    monkeypatch.setattr(near_duplicates, "stored", lambda df, of=near_duplicates.stored: kept.append(of(df)) or kept[-1])
+    compared = {}
+    for n in (150, 300, 600):
+        rng, base, rows = random.Random(n), words(31, 60), []
+        for i in range(n):
+            own = list(base)
+            for k in range(rng.randint(1, 3)):
+                own[rng.randrange(60)] = f"edit{i}x{k}"
+            rows.append((i, " ".join(own)))
+        bags = [shingle_bag(t) for _, t in rows]
+        parent = list(range(n))
+
+        def root(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in itertools.combinations(range(n), 2):
+            shared = len(bags[a].keys() & bags[b].keys())
+            if shared >= 0.8 * (len(bags[a]) + len(bags[b]) - shared) - 1e-9:
+                lo, hi = sorted((root(a), root(b)))
+                parent[hi] = lo
+        assert all(max(b.values()) == 1 for b in bags)
+        kept.clear()
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs(rows)).collect()}
+        assert got == {i: root(i) for i in range(n)}
+        compared[n] = sum(x.count() for x in kept if x.columns == ["a", "b", "similarity"])
+    assert compared[300] <= 3 * compared[150] and compared[600] <= 3 * compared[300] and compared[600] < 12 * 600
+
+
 @pytest.mark.parametrize("union", [15, 60])
 def test_near_duplicates_tie(docs, union):
     """A similarity of exactly 0.8 is a link, though its float value is lower; one shingle less is none."""

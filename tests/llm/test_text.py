@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -58,6 +59,68 @@ def test_html(spark):
     assert html_wrappers.main_texts(table.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>Head</h1><p>First para of the article, it is long enough.</p><p>The second isn't lost.</p>"
+BLOCKS = "Head\n\nFirst para of the article, it is long enough.\n\nThe second isn't lost."
+AROUND = "<div class=sidebar><p>Top ten stories</p></div><div id=comments><p>Nice post</p></div>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<html><body class='single has-sidebar'>{ARTICLE}{AROUND}</body></html>",
+    f"<html class='js no-search'><body>{ARTICLE}{AROUND}</body></html>",
+    f"<body><div id='main' class='with-sidebar'>{ARTICLE}</div>{AROUND}</body>",
+    f"<body><div class='sidebar page'>{ARTICLE}</div>{AROUND}</body>",
+    f"<body><form id='aspnetForm' action=x><input name=q>{ARTICLE}{AROUND}</form></body>",
+    f"<body><form class=search><input></form><form action=x>{ARTICLE}</form>{AROUND}</body>",
+    f"<body>{ARTICLE.replace('<p>First', '<p title=it' + chr(39) + 's>First')}{AROUND}</body>",
+    f"<body>{ARTICLE.replace('<p>First', '<p title=a' + chr(34) + '>First')}{AROUND}</body>",
+])
+def test_html_frames(html):
+    """What is named like furniture and stands around the article isn't furniture; stray quotes swallow nothing."""
+    assert html_wrappers.extract(html_wrappers.parse(html), None) == BLOCKS
+
+
+def test_html_shared_headings(spark):
+    pages = [(i, f"http://h.org/{i}", f"<body><nav><a href=x>Home page</a></nav><div class=post><h1>Weekly report</h1><p>Text {i} of this week's report.</p><h2>Summary</h2><p>{i * 7} things were done.</p></div></body>") for i in range(5)]
+    rows = html_wrappers.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {i: f"Weekly report\n\nText {i} of this week's report.\n\nSummary\n\n{i * 7} things were done." for i in range(5)}
+
+
+def test_html_blocks(spark, words):
+    """Hosts with frames, menus and notices of their own: every block of an article comes out, and nothing else."""
+    rng, stock, pages, want = random.Random(12), words(1, 4000, 3000), [], {}
+    some = lambda n: " ".join(rng.choice(stock) for _ in range(n))
+    frames = ["<div class=content>{}</div>", "<main>{}</main>", "<article>{}</article>", "<div id=page class='has-sidebar'><div class=post>{}</div></div>", "<form id=f><div class=body>{}</div></form>", "<table><tr><td>{}</td></tr></table>"]
+    outer = ["<header><p>Site {h}</p></header>", "<nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>", "<div class=banner>Buy {h} now</div>", "<aside><h3>Top</h3><p>{w}</p></aside>"]
+    below = ["<div class='comments'><p>{w}</p><p>{w}</p></div>", "<div class=related><ul><li><a href=q>{w}</a></ul></div>", "<footer>Terms of {h}</footer>", "<script>var x = '<p>no</p>';</script>", "<div class='cookie-notice'>We use cookies</div>"]
+    for h in range(6):
+        before, after = rng.sample(outer, 3), rng.sample(below, 4)
+        for i in range(6):
+            key = 100 * h + i
+            blocks, parts = [], []
+            for _ in range(rng.randint(4, 9)):
+                text = some(rng.randint(8, 30))
+                kind = rng.choice(["p", "p", "p", "h2", "blockquote", "li", "pre"])
+                mark = text.replace(" ", " <b>", 1).replace(" ", "</b>\n ", 2).replace("</b>", "", 1) if kind == "p" else text
+                parts.append(f"<ul><li>{text}</ul>" if kind == "li" else f"<{kind}>{mark.replace('&', '&amp;')}</{kind}>")
+                blocks.append(text)
+            fill = lambda x, h=h: x.format(h=f"host{h}", w=some(6))
+            pages.append((key, f"http://h{h}.org/{i}", f"<html><head><title>x</title></head><body>{''.join(map(fill, before))}{frames[h].format(''.join(parts))}{''.join(map(fill, after))}</body></html>"))
+            want[key] = "\n\n".join(blocks)
+    rows = html_wrappers.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == want
+
+
+def test_html_is_linear():
+    """Stray quotes, open tags and many unlike siblings take no quadratic time or table."""
+    begun = time.process_time()
+    for page in ("<p title=it's>x</p>'\"" * 20000, "<a <b " * 20000, "<title>" * 20000, "<a b=\"c>" * 20000):
+        html_wrappers.parse(page)
+    rng = random.Random(3)
+    many = [[[f"p.{rng.choice('abcdef')}" if rng.random() < 0.9 else f"p.u{rng.randrange(9999)}", 0, 0, 1, 1, 0, [], None] for _ in range(20000)] for _ in range(2)]
+    both = html_wrappers.align(*many)
+    assert sum(k[3] for k in both) == 40000 and time.process_time() - begun < 30
+
+
 def test_wrapper_expression():
     one = html_wrappers.wrap(html_wrappers.parse("<div><p>a<p>b</div><footer>f</footer>"))
     two = html_wrappers.wrap(html_wrappers.parse("<div><p>c</div><table><tr><td>x</table><footer>f</footer>"))
@@ -130,23 +193,27 @@ def test_max_plus_is_the_library():
     for _ in range(80):
         text = "".join(rng.choice(stock) for _ in range(rng.randint(1, 70)))
         want = library.encode(text)
-        assert list(model.encode(text)) == want and model.decode(want) == text
+        assert list(model.encode(text)[0]) == want and model.decode(want) == text
         for chunk in (16, 19, 33):
             assert chunked(model, text, chunk) == want
+            ids, n = model.encode(text, chunk)
+            assert list(ids) == want and n == len(max_plus.cut_chunks(model.normal(text), chunk, model.longest))
 
 
-def test_encoding_of_giant_texts(spark, docs, odd, words):
+@pytest.mark.parametrize("giant", [0, 100, 1 << 20])
+def test_encoding_of_texts(spark, docs, odd, words, giant):
+    """The library's ids, whether chunks stay with their text or are dealt out."""
     library = sentencepiece.SentencePieceProcessor(model_file=max_plus.MODEL)
-    rows = [(1, " ".join(words(1, 300))), (1, " ".join(words(1, 300))), (2, "x" * 500), (3, "short"), (4, None), (None, " ".join(words(2, 99)))]
-    out = max_plus.encode_texts(docs(rows), chunk=100)
+    rows = [(1, " ".join(words(1, 300))), (1, " ".join(words(1, 300))), (2, "x" * 500), (3, "short"), (4, None), (None, " ".join(words(2, 99))), (5, "é▁" * 90)]
+    out = max_plus.encode_texts(docs(rows), chunk=100, giant=giant)
     got = out.select("doc_id", "ids", "n_chunks", "n_tokens", "round_trip").collect()
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((i, tuple(library.encode(t or ""))) for i, t in rows)
-    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in got) and max(r["n_chunks"] for r in got) > 10
+    assert all(r["round_trip"] == (r["doc_id"] != 5) and r["n_tokens"] == len(r["ids"]) for r in got) and max(r["n_chunks"] for r in got) > 10
     texts = max_plus.decode_texts(out).select("doc_id", "text").collect()
-    assert Counter(map(tuple, texts)) == Counter((i, t or "") for i, t in rows)
-    digest = max_plus.encode_texts(docs(rows[:1]), chunk=100, digest=True).head()["ids_digest"]
-    assert digest == f"{max_plus.polynomial(np.array(library.encode(rows[0][1]), np.int32)):016x}"
-    assert max_plus.encode_texts(odd).count() == 13 and max_plus.encode_texts(docs([])).count() == 0
+    assert Counter(map(tuple, texts)) == Counter((i, (t or "").replace("▁", " ")) for i, t in rows)
+    digest = max_plus.encode_texts(docs(rows[:1]), chunk=100, digest=True, giant=giant).head()
+    assert digest["ids_digest"] == f"{max_plus.polynomial(np.array(library.encode(rows[0][1]), np.int32)):016x}"
+    assert max_plus.encode_texts(odd, giant=giant).count() == 13 and max_plus.encode_texts(docs([]), giant=giant).count() == 0
 
 
 def test_decontamination(spark, docs, words):
@@ -189,6 +256,34 @@ def test_decontamination(spark, docs, words):
     assert decontamination.clean(docs(rows), bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_index(words):
+    """Unrelated fingerprints hardly ever get past the blocks; all within the radius do."""
+    stock, rng = words(1, 4000, 3000), random.Random(5)
+    texts = pa.array([" ".join(rng.choice(stock) for _ in range(40)) for _ in range(400)], pa.large_string())
+    index = decontamination.Index([(i, t.as_py()) for i, t in enumerate(texts)])
+    x, y = index.prints[:200], index.prints[200:]
+    i, _, _ = decontamination.near_blocks(x, y)
+    assert len(i) < 0.05 * len(x) * len(y)
+    rng = np.random.default_rng(1)
+    bits = np.unpackbits(x, axis=1)
+    for row in bits:
+        row[rng.choice(decontamination.BITS, decontamination.RADIUS, replace=False)] ^= 1
+    i, j, d = decontamination.near_blocks(np.packbits(bits, axis=1), x)
+    assert {(k, k) for k in range(200)} <= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert all(d[i == j].sum(1) == decontamination.RADIUS)
+
+
+def test_decontamination_hot(docs, spark, words, monkeypatch):
+    """A shingle that all items share, in every document, in small pieces; items of one shared text."""
+    monkeypatch.setattr(decontamination, "HITS", 16)
+    same = " ".join(words(1, 12))
+    items = [(i, f"{same} {' '.join(words(50 + i, 20))}") for i in range(30)] + [(100 + i, f"{same} {words(7, 9)[i]}") for i in range(6)]
+    rows = [(i, f"{' '.join(words(900 + i, 30))} {items[i % 36][1]} {same}") for i in range(40)] + [(99, same)]
+    table = docs([r for r in rows]).withColumn("item_id", F.lit("x")).withColumn("similarity", F.lit("x"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found >= {(i, items[i % 36][0]) for i in range(40)} and all(d == 99 or j >= 100 or d % 36 == j for d, j in found)
+
+
 def test_quality(spark, docs, odd, words):
     rng = random.Random(8)
     good = [" ".join(words(i, rng.randint(20, 60))).capitalize() + "." for i in range(150)]
