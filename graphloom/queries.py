@@ -706,11 +706,11 @@ def x14_balance(spark, d):
     return one(g, "before").unionByName(one(done, "after"))
 
 
-@query("x14_balance_two")
-def x14_balance_two(spark, d):
-    """The same for orders' copies first and vertices then, by the part-weight balancer's flows."""
-    g = views.h2(spark, d, skewed=True)
-    done = diffusive.balance(g, DiffusiveInput(((0, 1.1), (-1, 1.1)), max_iterations_per_type=6, step_factor=0.5, part_weight_balancer=True))
+@query("x14_balance_by_flows")
+def x14_balance_by_flows(spark, d):
+    """The same by the part-weight balancer's flows."""
+    g = views.h1(spark, d, skewed=True)
+    done = diffusive.balance(g, DiffusiveInput(((-1, 1.1),), max_iterations_per_type=20, step_factor=0.5, part_weight_balancer=True))
     one = lambda x, when: metrics.imbalances(x).select(F.lit(when).alias("state"), "dim", r6("imb"))
     return one(g, "before").unionByName(one(done, "after"))
 
