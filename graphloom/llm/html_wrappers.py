@@ -14,10 +14,12 @@ None once texts differ.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import math
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -53,7 +55,18 @@ NAMES = frozenset(
     " toolbar pagination pager skip legal disclaimer".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: Words that make a class say what an element has or lacks, not what it is.
+ABOUT = frozenset("has have with no not without hide show js".split())
+#: Names of what readers wrote.
+READERS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
+#: Elements that are furniture however much they hold.
+ALWAYS = FURNITURE - {"form", "fieldset"}
+#: Pairs of labels that an alignment may tabulate; longer lists are cut at labels that both have once.
+TABLE = 1 << 18
+
+# a quote opens a value after = only; possessive, so that a search never goes back
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>", re.S)
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDE = {t: re.compile(rf"</{t}\s*>", re.I) for t in HIDDEN}
 
@@ -70,21 +83,44 @@ def label_of(tag: str, attrs: str) -> str:
         elif name == "itemprop":
             words += ["articlebody"] if value.lower() == "articlebody" else []
         else:
-            words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
+            for token in value.split():
+                own = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower())
+                words += own if ABOUT.isdisjoint(own) else ["".join(own)]
     return f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag
 
 
 def is_furniture(label: str) -> bool:
+    """Whether an element's name or words are those of furniture; html, body and main never are."""
     tag, *words = label.split(".")
+    if tag in ("html", "body", "main"):
+        return "hidden" in words
     return tag in FURNITURE or tag in HIDDEN or "hidden" in words or not NAMES.isdisjoint(words)
 
 
+def holds(node: list, tags: tuple[str, ...]) -> bool:
+    return any(k[0].split(".", 1)[0] in tags or holds(k, tags) for k in node[6])
+
+
+def is_frame(node: list, whole: int) -> bool:
+    """Whether a wrapper's element that is named like furniture stands around the article: it holds
+    half of the host's text, or a fifth and a main heading.  What readers wrote needs a heading."""
+    tag, *words = node[0].split(".")
+    own = node[4] - node[5]
+    if tag in ALWAYS or tag in HIDDEN or "hidden" in words or 5 * own < whole:
+        return False
+    if not READERS.isdisjoint(words):
+        return holds(node, ("h1", "main"))
+    return 2 * own >= whole or holds(node, ("h1", "main", "article"))
+
+
 def parse(page: str) -> list:
     """The page as nested elements ``[label, kids]``; a text is ``["#", text, link chars]``.
     Elements that aren't blocks only bring their text; unclosed ones end with their parent."""
     root = ["", []]
     stack, text, links, anchor, at, size = [root], [], 0, 0, 0, len(page)
     too_deep: dict[str, int] = {}
+    unclosed: set[str] = set()
+    last = page.rfind(">")
 
     def flush():
         nonlocal links
@@ -96,9 +132,9 @@ def parse(page: str) -> list:
         links = 0
 
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         piece = page[at : m.start()] if m else page[at:]
-        if not m and (cut := re.search(r"<(?:[a-zA-Z/!?][^>]*)\Z", piece)):
+        if not m and (cut := _OPEN.search(piece, piece.rfind(">") + 1)):
             piece = piece[: cut.start()]  # the page ends inside a tag
         if piece:
             text.append(piece)
@@ -125,7 +161,9 @@ def parse(page: str) -> list:
             continue
         if tag in HIDDEN:
             if not m[3].endswith("/"):
-                end = _HIDE[tag].search(page, at)
+                end = None if tag in unclosed else _HIDE[tag].search(page, at)
+                if not end:
+                    unclosed.add(tag)
                 # an unclosed head or title must not swallow the page
                 at = end.end() if end else (at if tag in ("head", "title") else size)
             continue
@@ -201,25 +239,86 @@ def align(a: list, b: list) -> list:
     """Kids of two wrappers by a longest common subsequence of labels; the rest is optional."""
     if [k[0] for k in a] == [k[0] for k in b]:
         return [merge(x, y) for x, y in zip(a, b, strict=True)]
+    out, i, j = [], 0, 0
+    for x, y in [*common(a, b), (len(a), len(b))]:
+        # the rest of the first comes before that of the second
+        out += [[*k[:2], 1, *k[3:]] for k in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(merge(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return out
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a common subsequence of labels; the longest, if the lists are short."""
+    a, b = [k[0] for k in a], [k[0] for k in b]
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            found.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) <= TABLE:
+            found += [(i + x, j + y) for x, y in longest(a[i:n], b[j:m])]
+        elif anchors := anchored(a, b, i, n, j, m):
+            found += anchors
+            for (x, y), (z, w) in zip([(i - 1, j - 1), *anchors], [*anchors, (n, m)], strict=True):
+                todo.append((x + 1, z, y + 1, w))
+        else:
+            # nothing is unique: each label to the next place of its like
+            where: dict[str, list[int]] = {}
+            for y in range(j, m):
+                where.setdefault(b[y], []).append(y)
+            for x in range(i, n):
+                places = where.get(a[x], [])
+                at = bisect.bisect_left(places, j)
+                if at < len(places):
+                    found.append((x, places[at]))
+                    j = places[at] + 1
+    return sorted(found)
+
+
+def longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:2], 1, *a[i][3:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([*b[j][:2], 1, *b[j][3:]])
             j += 1
     return out
 
 
+def anchored(a: list[str], b: list[str], i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    """The longest ascending run of pairs of labels that either stretch has once."""
+    first, second = Counter(a[i:n]), Counter(b[j:m])
+    place = {b[y]: y for y in range(j, m) if second[b[y]] == 1}
+    tops, ends, before = [], [], {}
+    for x in range(i, n):
+        if first[a[x]] == 1 and a[x] in place:
+            y = place[a[x]]
+            at = bisect.bisect_left(tops, y)
+            before[x, y] = ends[at - 1] if at else None
+            tops[at : at + 1], ends[at : at + 1] = [y], [(x, y)]
+    out, at = [], ends[-1] if ends else None
+    while at:
+        out.append(at)
+        at = before[at]
+    return out[::-1]
+
+
 def expression(wrapper: list) -> str:
     """The wrapper as text, for people: ``( )+`` repeated, ``( )?`` optional, ``#`` slot."""
     inner = "#" if wrapper[0] == "#" and wrapper[7] is None else "text" if wrapper[0] == "#" else f"<{wrapper[0]}>" + "".join(map(expression, wrapper[6])) + "</>"
@@ -228,13 +327,28 @@ def expression(wrapper: list) -> str:
 
 def plan(wrapper: list) -> dict:
     """Where the article is: ``region``, the labels down to it, and ``out``, what inside it
-    is furniture: [path, hash of a constant text] or [path, None] for whole elements."""
+    is furniture: [path, hash of a constant text] or [path, None] for whole elements; ``frames``:
+    paths of elements in it that are named like furniture and aren't."""
+    text = wrapper[4] - wrapper[5]
+    frames: set[int] = set()
+
+    def look(node: list) -> None:
+        for k in node[6]:
+            if k[0] != "#":
+                if is_furniture(k[0]) and is_frame(k, text):
+                    frames.add(id(k))
+                look(k)
+
+    look(wrapper)
+
+    def furniture(node: list) -> bool:
+        return is_furniture(node[0]) and id(node) not in frames
 
     def mass(node: list, outer: bool) -> int:
         """Characters that could be article: no furniture, no links."""
         if node[0] == "#":
             return max(0, node[4] - node[5])
-        if is_furniture(node[0]) or outer and node[0].split(".", 1)[0] == "header":
+        if furniture(node) or outer and node[0].split(".", 1)[0] == "header":
             return 0
         return sum(mass(k, outer) for k in node[6])
 
@@ -242,7 +356,7 @@ def plan(wrapper: list) -> dict:
 
     def find(node: list, path: list) -> None:
         for k in node[6]:
-            if k[0] == "#" or is_furniture(k[0]):
+            if k[0] == "#" or furniture(k):
                 continue
             tag, *words = k[0].split(".")
             if tag in ("article", "main") or "articlebody" in words:
@@ -267,6 +381,7 @@ def plan(wrapper: list) -> dict:
     for label in region:
         node = next(k for k in node[6] if k[0] == label)
     out: list = []
+    free: list = []
     varies = False
 
     def walk(node: list, path: list) -> None:
@@ -274,9 +389,13 @@ def plan(wrapper: list) -> dict:
         for k in node[6]:
             if k[0] == "#":
                 varies |= k[7] is None
-                if k[7] is not None and k[3] >= 3 and k[3] >= 0.5 * wrapper[3]:
+                # pages of one kind may share their headings
+                heading = path and re.match(r"h\d(\.|\Z)", path[-1])
+                if k[7] is not None and k[3] >= 3 and k[3] >= 0.5 * wrapper[3] and not heading:
                     out.append([path, k[7]])
-            elif not is_furniture(k[0]):
+            elif not furniture(k):
+                if is_furniture(k[0]):
+                    free.append([*path, k[0]])
                 if k[5] > 0.6 * k[4] and k[0].split(".")[0] in ("ul", "ol", "div", "section", "table", "dl"):
                     out.append([[*path, k[0]], None])
                 else:
@@ -285,7 +404,7 @@ def plan(wrapper: list) -> dict:
     walk(node, [])
     if not varies:  # copies of one page: constant texts say nothing
         out = [x for x in out if x[1] is None]
-    return {"region": region, "out": out}
+    return {"region": region, "out": out, "frames": free}
 
 
 def extract(root: list, how: dict | None) -> str:
@@ -300,6 +419,7 @@ def extract(root: list, how: dict | None) -> str:
         return extract(root, own) if own["region"] != how["region"] else ""
     gone = {tuple(p) for p, h in how["out"] if h is None}
     constant = {(tuple(p), h) for p, h in how["out"] if h is not None}
+    frames = {tuple(p) for p in how["frames"]}
     blocks: list[str] = []
     inside = bool(how["region"])
 
@@ -308,8 +428,10 @@ def extract(root: list, how: dict | None) -> str:
             if k[0] == "#":
                 if not constant or (path, xxhash.xxh3_64_intdigest(k[1])) not in constant:
                     blocks.append(k[1])
-            elif not is_furniture(k[0]) and (*path, k[0]) not in gone and (inside or k[0].split(".", 1)[0] != "header"):
-                walk(k, (*path, k[0]))
+                continue
+            here = (*path, k[0])
+            if (not is_furniture(k[0]) or here in frames) and here not in gone and (inside or k[0].split(".", 1)[0] != "header"):
+                walk(k, here)
 
     for n in nodes:
         walk(n, ())
@@ -368,8 +490,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host of every row of ``pages``: the article's blocks, joined
     by two line ends.  Null, empty and text-free html give an empty text.  Hosts that can't
     be read from the url share one wrapper, under the host ''.  Repeated rows get the same
-    result, other columns are ignored.  What is nested over MAX_DEPTH deep brings its text to
-    the element at that depth."""
+    result, other columns are ignored.  A page is read whole, however long; an empty table gives
+    no rows.  What is nested over MAX_DEPTH deep brings its text to the element at that depth."""
 
     def plans(pdf):
         return pdf.assign(plan=[json.dumps(plan(json.loads(w))) for w in pdf["wrapper"]])[["host", "plan"]]
