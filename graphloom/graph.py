@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .iterate import shares, spread
 from .schema import EDGES, MAX_TYPES, PINS, VERTICES, GraphError, check_etype
 
 
@@ -101,12 +102,13 @@ def add_edge_type(g: NGraph, pins: DataFrame, edges: DataFrame | None = None) ->
     if "pos" in pins.columns:
         own = pins.select(F.lit(etype).alias("etype"), F.col("eid").cast("long"), F.col("pos").cast("int"), F.col("gid").cast("long"))
     elif g.is_hyper:
-        # a pin's place means nothing in a hyperedge
-        own = pins.select(F.lit(etype).alias("etype"), F.col("eid").cast("long"), F.lit(None).cast("int").alias("pos"), F.col("gid").cast("long")).distinct()
+        # a pin's place means nothing in a hyperedge; many are dealt by vertex, for whose join they needn't move again
+        own = pins.select(F.lit(etype).alias("etype"), F.col("eid").cast("long"), F.lit(None).cast("int").alias("pos"), F.col("gid").cast("long"))
+        own = spread(own, shares(pins), "gid").distinct()
     else:
         raise GraphError("edges with a direction need pos 0 and 1")
     if edges is None:
-        made = own.select("etype", "eid").distinct().select("etype", "eid", F.lit(1.0).alias("w"), F.lit(0).alias("home_part"))
+        made = pins.select(F.lit(etype).alias("etype"), F.col("eid").cast("long")).distinct().select("etype", "eid", F.lit(1.0).alias("w"), F.lit(0).alias("home_part"))
     else:
         w = F.coalesce(F.col("w").cast("double"), F.lit(1.0)) if "w" in edges.columns else F.lit(1.0)
         home = F.coalesce(F.col("home_part").cast("int"), F.lit(0)) if "home_part" in edges.columns else F.lit(0)

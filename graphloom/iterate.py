@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -9,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of the files that one task's share of a table comes from.
+SHARE = 8 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -23,6 +26,23 @@ def work_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def shares(df: DataFrame) -> int:
+    """Partitions to deal ``df`` to, so that a task's share doesn't grow with the files it is read from; 0 if
+    Spark's own choice does.  That is as few as there are cores, or of 64 packed MB, which are millions of pins."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
+    # tables of unknown size claim 8 EB
+    n = math.ceil(sum(x for x in sizes if x < 1 << 60) / SHARE)
+    # fewer than Spark's would be dealt again by a join
+    return 0 if n <= spark.sparkContext.defaultParallelism else max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """``df`` dealt to ``n`` partitions; as it is for 0."""
+    return df.repartition(n, *by) if n else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` and read it again: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
