@@ -27,3 +27,21 @@ def test_pins_of_large_tables_are_dealt_to_more_tasks(spark, dealt, monkeypatch)
     assert rows(edge_centroids(g, 0).select("eid", F.round("cx", 6))) == want
     monkeypatch.setattr(iterate, "SHARE", 1 << 30)
     assert iterate.shares(spark.read.parquet(f"{D}/lineitem.parquet")) == 0
+
+
+def test_targets_read_pins_once(spark, monkeypatch):
+    """One profile a type, and the targets that SQL has."""
+    import duckdb
+
+    from graphloom import queries
+    from graphloom.plans import targets
+
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    seen, profile = [], targets.profile
+    monkeypatch.setattr(targets, "profile", lambda g, t: seen.append(t) or profile(g, t))
+    for name in ("x3_targets", "x3_targets_completed"):
+        want = sorted(con.execute(queries.ORACLE_SQL[name]).fetchall())
+        assert rows(queries.QUERIES[name](spark, D)) == [(*r[:2], pytest.approx(r[2])) for r in want] and want
+    assert seen == [0, 0]
