@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import NGraph
-from ..iterate import stored
+from ..iterate import release, stored
 from ..operators.access import set_original_owners
 from . import DiffusiveInput, SplitInput
 from .diffusive import balance
@@ -22,11 +22,14 @@ def order_key(g: NGraph, etype: int) -> DataFrame:
     """(gid, key): a place on a line that keeps neighbours close: the middle of a vertex's
     edges' middles, smoothed three times from its id."""
     now = _scaled(g.vertices)
-    pins = g.typed(g.pins, etype).select("eid", "gid")
+    # told apart once, not twice a step
+    pins = stored(g.typed(g.pins, etype).select("eid", "gid"))
     for _ in range(3):
         mid = pins.join(now, "gid").groupBy("eid").agg(F.avg("key").alias("mid"))
         near = pins.join(mid, "eid").groupBy("gid").agg(F.avg("mid").alias("near"))
-        now = stored(now.join(near, "gid", "left").select("gid", ((F.col("key") + F.coalesce("near", "key")) / 2).alias("key")))
+        old, now = now, stored(now.join(near, "gid", "left").select("gid", ((F.col("key") + F.coalesce("near", "key")) / 2).alias("key")))
+        release(old)
+    release(pins)
     return now
 
 

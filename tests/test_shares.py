@@ -78,3 +78,12 @@ def test_choice_has_a_row_a_pin_and_stored_pairs(spark, monkeypatch):
     monkeypatch.setattr(diffusive, "_choice_rows", spied)
     diffusive.select(g, spark.createDataFrame([(0, 1, 1.0)], "part int, nbr int, target double"), queue, min_connectivity=2)
     assert [(s, n) for s, _, n in seen] == [(True, 3)] and (0, 1, 1) in seen[0][1] and (1, 0, None) not in seen[0][1]
+
+
+def test_order_key_tells_pins_apart_once(spark, monkeypatch):
+    from graphloom.plans import split
+
+    seen, stored = [], split.stored
+    monkeypatch.setattr(split, "stored", lambda df: seen.append(df.columns) or stored(df))
+    split.order_key(views.h1(spark, D), 0)
+    assert seen == [["eid", "gid"], *[["gid", "key"]] * 3]
