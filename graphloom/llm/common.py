@@ -12,24 +12,35 @@ from pyspark.sql import functions as F
 
 from ..iterate import release, stored, work_dir
 
-__all__ = ["batch_of", "by_batch", "column", "flat", "long_key", "release", "slices", "stored", "table", "text_key", "tree_sum", "work_dir"]
+__all__ = ["batch_of", "by_batch", "column", "flat", "long_key", "map_arrow", "release", "slices", "stored", "table", "text_key", "tree_sum", "work_dir"]
 
-#: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that one vectorised step works on, which takes some 50 times as many; bounds a Python worker's memory.
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch to a Python worker.  Spark fills 64 MB, which a task's two ends hold some times over.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of ``BATCH_BYTES`` or so.  This limit is the session's, as Spark reads it when the
+    plan runs, and stays set; a lower one is left alone."""
+    spark = df.sparkSession
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """map_arrow() with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

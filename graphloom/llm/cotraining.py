@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, flat, slices, stored, tree_sum
+from .common import column, flat, map_arrow, slices, stored, tree_sum
 from .textops import word_hashes
 
 #: The bound on labelled rows that the classifiers are fitted on; more are sampled by a hash of the id.
 LABELLED_ROWS = 20_000
 ROUNDS, SURE, RIDGE = 3, 0.98, 2.0
 TEXT_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 128, 32, 16
+#: Bytes of packed features that one step sums, in numbers four times as long and several copies.
+GATHER_BYTES = 1 << 18
 TEXT_DIM, META_DIM = TEXT_BUCKETS + 4, SOURCE_BUCKETS + LANG_BUCKETS + 9
 
 _ALNUM = np.zeros(256, bool)
@@ -152,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
                 x = np.concatenate(features(part), 1).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([column(part, "did"), column(part, "y"), pa.array([r.tobytes() for r in x], pa.binary())], schema=kinds)
 
-    table = stored(rows.mapInArrow(compute, "did long, y int, x binary"))
+    table = stored(map_arrow(rows, compute, "did long, y int, x binary"))
     found = table.where("y is not null").dropDuplicates(["did", "x"]).orderBy("did", "x").toPandas()
     if not len(found):
         return None
@@ -173,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
         def gather(batches, shared=shared):
             scale, beta = shared.value
             sums = None
-            for batch in batches:
-                raw = np.frombuffer(b"".join(column(batch, "x").to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float64)
+            for part in (s for batch in batches for s in slices(batch, "x", GATHER_BYTES)):
+                raw = np.frombuffer(b"".join(column(part, "x").to_pylist()), np.float16).reshape(part.num_rows, -1).astype(np.float64)
                 v = [scaled(raw[:, :TEXT_DIM], scale[0]), scaled(raw[:, TEXT_DIM:], scale[1])]
                 p = [sigmoid(a @ b) for a, b in zip(v, beta, strict=True)]
                 made = []
@@ -186,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", bound: in
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.concatenate(sums).tobytes()], pa.binary())], names=["k", "sums"])
 
-        got = tree_sum(unlabelled.mapInArrow(gather, "k int, sums binary"), ["k"], "sums", "float64").collect()
+        got = tree_sum(map_arrow(unlabelled, gather, "k int, sums binary"), ["k"], "sums", "float64").collect()
         at, total = 0, np.frombuffer(got[0]["sums"], np.float64) if got else None
         for i, dim in enumerate((TEXT_DIM, META_DIM)):
             g, h = newton_terms(own[i][~fold], y[~fold], betas[i])
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(s, pa.float64()) for s in scores), pa.array(scores[2] >= threshold)], names=[*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", text_score double, meta_score double, quality_score double, keep boolean"
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", **options) -> DataFrame:

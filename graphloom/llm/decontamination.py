@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, flat, slices, stored, text_key
+from .common import column, flat, map_arrow, slices, stored, text_key
 from .textops import mix, run_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -202,7 +202,7 @@ def _by_block(docs: DataFrame, benchmark: DataFrame, limit: int, fn, schema):
                 for rows in slices(batch, "text"):
                     yield from fn(shared.value, rows)
 
-        one = docs.mapInArrow(run, schema)
+        one = map_arrow(docs, run, schema)
         if after is not None or out is not None:
             one = stored(one)
             shared.destroy()

@@ -20,6 +20,8 @@ from .common import batch_of, column, flat, long_key, slices, stored, text_key
 from .textops import span_hashes, word_spans
 
 WORDS = 24
+#: Bytes of text in which equal spans are collapsed; fewer would send more rows of a common span.
+EMIT_BYTES = 2 << 20
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?,;:"]] = True
@@ -86,7 +88,7 @@ def _emit(batch):
     """The spans of a batch.  Of equal spans inside it only the first goes on to the global
     join; the others are known to be later copies, so that a common span shuffles one row
     a batch, not one an occurrence."""
-    for part in slices(batch, "text"):
+    for part in slices(batch, "text", EMIT_BYTES):
         data, offs = flat(column(part, "text"))
         _, _, hashes, words, head = sentences(data, offs)
         at, size, h = spans(hashes, words, head)

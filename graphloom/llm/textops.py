@@ -8,6 +8,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64)
+#: Values that span_hashes works on at once.
+SPAN_VALUES = 1 << 16
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -29,20 +31,30 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each span of ``values`` (spans ascend and don't overlap)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    inside = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+def _span_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    first = np.cumsum(lengths) - lengths
+    inside = np.repeat(starts - first, lengths) + np.arange(lengths.sum())
     at = inside - np.repeat(starts, lengths)
     with np.errstate(over="ignore"):
         terms = (values[inside].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[at]
     sums = np.zeros(len(starts), np.uint64)
     full = lengths > 0
-    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))[full]
-    if len(first):
-        sums[full] = np.add.reduceat(terms, first)
+    if full.any():
+        sums[full] = np.add.reduceat(terms, first[full])
+    return sums
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each span of ``values`` (spans ascend and don't overlap).  A value takes some
+    60 bytes on the way, so spans go in blocks of ``SPAN_VALUES`` or so; a longer span stands alone."""
+    lengths = ends - starts
+    total = np.concatenate(([0], np.cumsum(lengths)))
+    sums = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        end = max(i + 1, int(np.searchsorted(total, total[i] + SPAN_VALUES, "right")) - 1)
+        sums[i:end] = _span_sums(values, starts[i:end], lengths[i:end])
+        i = end
     return mix(sums + lengths.astype(np.uint64) * _BASE)
 
 
